@@ -91,3 +91,22 @@ def keyed(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = 1_000_
     """Semi or anti join with ``ids``: sent to all executors up to ``limit`` rows, shuffled beyond."""
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def by_value(module_name: str) -> None:
+    """Send a module's functions to Python workers by value: workers need not have the library installed."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch, so that long texts don't fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def id_remainder(id_column: Column, modulus: int) -> Column:
+    """crc32 of the id as text, modulo; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % modulus

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard
+from tessera.llm import jaccard, language, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op3_source_mixing": mixing.op3_source_mixing,
+        "op5_language_id": language.op5_language_id,
         "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": mixing.OP3_SQL}
