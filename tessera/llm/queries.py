@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, language, mixing, quality
+from tessera.llm import html, jaccard, language, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op2_html_extraction": html.op2_html_extraction,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op5_language_id": language.op5_language_id,
         "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
