@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import html, jaccard, language, mixing, quality
+from tessera.llm import html, jaccard, language, mixing, pitman_yor, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_source_mixing": mixing.op3_source_mixing,
         "op5_language_id": language.op5_language_id,
         "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
+        "op9_pitman_yor": pitman_yor.op9_pitman_yor,
         "op10_quality": quality.op10_quality,
     }
 
