@@ -41,12 +41,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(roots))
 
 
-def connect(index: DataFrame, prepare: Callable, verify: Callable, scratch: Scratch) -> DataFrame:
+def connect(index: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Components of the graph whose links are the verified pairs of nodes that share an index key.
 
-    ``index(key, node)`` must give every linked pair a common key. ``prepare(nodes)`` is called once
-    with the nodes that share a key at all; its result goes to ``verify(pairs, prepared)``, which returns
-    the rows of ``pairs(u, v)`` that are links. Returns ``node, comp`` for nodes with a link.
+    ``index(key, node)`` must give every linked pair a common key. ``verify(pairs)`` returns the rows of
+    ``pairs(u, v)`` that are links. Returns ``node, comp`` for nodes with a link.
 
     A key's nodes aren't paired with each other. In every round each key compares its first nodes
     (the centres) with the others that aren't known to be connected to them, and then drops the
@@ -56,9 +55,8 @@ def connect(index: DataFrame, prepare: Callable, verify: Callable, scratch: Scra
     shared = index.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     shared = shared.where("first < last").select("key", "first")
     live = scratch.write(index.join(shared, "key").select("key", "node", "first").distinct())
-    prepared = prepare(live.select("node").distinct())
     pairs = live.where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    links = scratch.write(verify(pairs, prepared))
+    links = scratch.write(verify(pairs))
     comp = components(links, scratch)
     live, old = live.where("node > first").select("key", "node"), live
     centres = 1
@@ -75,7 +73,7 @@ def connect(index: DataFrame, prepare: Callable, verify: Callable, scratch: Scra
         top = now.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= centres)
         top = scratch.write(top.select("key", F.col("node").alias("u"), F.col("c").alias("cu")))
         pairs = now.join(top, "key").where("c <> cu and node > u").select("u", F.col("node").alias("v")).distinct()
-        found = scratch.write(verify(pairs, prepared).select("u", "v"))
+        found = scratch.write(verify(pairs).select("u", "v"))
         if not found.isEmpty():
             stars = comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))
             old_comp, comp = comp, components(stars.union(found), scratch)

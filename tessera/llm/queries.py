@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import html, jaccard, language, lines, mixing, pitman_yor, quality
+from tessera.llm import decontamination, html, jaccard, language, lines, mixing, pitman_yor, quality
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_html_extraction": html.op2_html_extraction,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op5_language_id": language.op5_language_id,
