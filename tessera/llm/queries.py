@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, html, jaccard, language, lines, mixing, pitman_yor, quality
+from tessera.llm import decontamination, fingerprints, html, jaccard, language, lines, mixing, pitman_yor, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_html_extraction": html.op2_html_extraction,
         "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_language_id": language.op5_language_id,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
