@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, fingerprints, html, jaccard, language, lines, mixing, pitman_yor, quality
+from tessera.llm import decontamination, fingerprints, html, jaccard, language, licenses, lines, mixing, pitman_yor, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_language_id": language.op5_language_id,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
         "op9_pitman_yor": pitman_yor.op9_pitman_yor,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.OP3_SQL}
+    return {"op3_source_mixing": mixing.OP3_SQL, "op6_license_scan": licenses.oracle()}
