@@ -1,13 +1,71 @@
-"""Corpus preparation: quality, line dedup, near duplicates, decontamination, mixing."""
+"""Corpus preparation: quality filter, line dedup, near duplicates, decontamination, mixing."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import Scratch, keyed, small_batches, table
+from tessera.llm.decontamination import decontaminate
+from tessera.llm.jaccard import jaccard_components
+from tessera.llm.lines import drop_lines, near_duplicate_lines
+from tessera.llm.mixing import mix
+from tessera.llm.quality import fit_on, score_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to which the classifier gives the label 1 at least even odds."""
+    small_batches(spark)
+    scored = score_quality(docs, fit_on(spark, docs, sf_dir))
+    return scored.where("quality_score >= 0.5").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that near-equal an earlier one; one that had only such lines goes."""
+    out = drop_lines(docs, near_duplicate_lines(docs))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each component of five-word shingle similarity 0.8; rows that repeat
+    an id and text stay once, null ids stay."""
+    linked = Scratch(spark).write(jaccard_components(docs, k=5, percent=80).select("doc_id", "component_id"))
+    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = keyed(docs, gone, "doc_id", "left_anti")
+    again = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = keyed(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return keyed(kept, again, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    small_batches(spark, 500)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
+    return mix(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: The classifier and the hashes have no SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each result is written to the shared folder and read by the next."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
