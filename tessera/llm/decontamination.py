@@ -14,8 +14,8 @@ from tessera.llm.common import by_value, small_batches, table
 
 by_value(__name__)
 
-#: A seed ignores the positions with 0.
-MASKS = ("1101001011", "1011100101", "1110001101")
+#: A seed ignores the positions with 0. The last is for items that the others don't fit in.
+MASKS = ("1101001011", "1011100101", "1110001101", "11111111")
 _WORD = re.compile(r"\w+")
 _BLOCK_CHARS = 32_000_000
 

@@ -1,0 +1,391 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, fingerprints, html, jaccard, language, licenses, lines, mixing, pitman_yor, quality
+from tessera.llm.common import ascii_lower, words
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, key string, u int, v int, n int, s int, h int, start int, block int, train int, batch int, part int, tail int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def documents(spark, texts, sources=None, langs=None):
+    """Texts as rows with ids 1, 2, ... unless given as (id, text); all further columns clash and are filled."""
+    rows = []
+    for i, t in enumerate(texts, 1):
+        k, t = t if isinstance(t, tuple) else (i, t)
+        rows.append((k, t, langs[i - 1] if langs else "en", sources[i - 1] if sources else "a", 5, 7, "k", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def prose(r, n, vocabulary=400):
+    return " ".join(f"w{int(r.paretovariate(0.8)) % vocabulary}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    r = random.Random(5)
+    texts = [prose(r, r.choice([1, 3, 4, 5, 30, 60, 120])) for _ in range(30)]
+    family = prose(r, 80, 3000).split()
+    for k in range(12):  # near copies, each with one word changed, and a chain of ever more changes
+        w = list(family)
+        w[k * 6] = f"x{k}"
+        texts.append(" ".join(w))
+    chain = prose(r, 100, 3000).split()
+    for k in range(8):
+        chain = list(chain)
+        chain[k * 11] = f"y{k}"
+        texts.append(" ".join(chain))
+    passage = prose(r, 60, 3000)
+    texts += [prose(r, 12, 3000) + " " + passage for _ in range(30)]
+    texts += [None, "", "  \n\t ", "a b", "A B", "a b", texts[0], texts[0].upper(), "É b c d e", "é b c d e", "w " * 5000]
+    texts += [(3, texts[2]), (None, texts[0]), (None, None), (4, "another text with id four")]
+    return documents(spark, texts)
+
+
+def sets_of(text, k):
+    w = WORD.findall((text or "").translate(UPPER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_jaccard_components_against_brute_force(spark, mixed, k, percent):
+    rows = [(r.doc_id, r.text) for r in mixed.collect()]
+    sets = [(i, sets_of(t, k)) for i, t in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if None not in (i, j) and x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    want = collections.Counter((i, len(x), root(i) if i is not None else None) for i, x in sets)
+    for frequent in (1, 8):
+        got = jaccard.jaccard_components(mixed, k, percent, frequent_above=frequent).collect()
+        diff = {x: n for x, n in want.items() if x[0] not in (3, 4)}
+        assert collections.Counter(tuple(x) for x in got if x.doc_id not in (3, 4)) == diff
+        assert {(x.doc_id, x.component_id) for x in got if x.doc_id in (3, 4)} == {(i, root(i)) for i in (3, 4)}
+    assert jaccard.jaccard_components(mixed.limit(0)).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("errors", [1, 2, 3])
+def test_banded_distance_and_segments(spark, errors):
+    r = random.Random(errors)
+    pairs = []
+    for _ in range(300):
+        a = "".join(r.choice("abé") for _ in range(r.randrange(0, 40)))
+        b = list(a)
+        for _ in range(r.randrange(0, errors + 3)):
+            at = r.randrange(len(b) + 1)
+            if r.random() < 0.5:
+                b.insert(at, r.choice("abé"))
+            elif b:
+                b.pop(min(at, len(b) - 1))
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    share = F.arrays_overlap(F.array_compact(lines.segment_keys(F.col("a"), errors)), F.array_compact(lines.segment_keys(F.col("b"), errors)))
+    for x in df.select("a", "b", lines.within_edits(F.col("a"), F.col("b"), errors).alias("near"), share.alias("share")).collect():
+        near = edits(x.a, x.b) <= errors
+        assert x.near == near and (x.share or not near)
+
+
+def test_line_classes_against_brute_force(spark):
+    r = random.Random(2)
+    base = [prose(r, 10, 5000) for _ in range(12)]
+    near = lambda t: t[:5] + "Q" + t[6:20] + t[21:]
+    texts = ["\n".join([base[i % 12], near(base[(i * 5) % 12]) if i % 3 == 0 else base[(i + 1) % 12], "short"]) for i in range(25)]
+    texts += [None, "", "\n\n", base[0], (3, "\n".join([base[2], base[2]])), (None, base[1] + "\n" + prose(r, 12, 9999)), "long " * 4000]
+    df = documents(spark, texts)
+    got = lines.near_duplicate_lines(df, 2, 20).collect()
+    text = {(x.doc_id, t): x for x in df.collect() for t in [x.text]}
+    places = sorted({(i is not None, i or 0, k, t) for (i, x) in text for k, t in enumerate((x or "").split("\n")) if len(t) >= 20})
+    kinds = sorted({p[3] for p in places})
+    parent = {t: t for t in kinds}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+                parent[root(a)] = root(b)
+    assert len(got) == sum(len(x.split("\n")) and sum(len(t) >= 20 for t in x.split("\n")) for _, x in text if x)
+    assert sum(x.kept for x in got) == len({root(t) for t in kinds})
+    kept = lines.drop_lines(df, lines.near_duplicate_lines(df, 2, 20))
+    assert kept.columns == df.columns
+    left = collections.Counter(t for x in kept.collect() for t in (x.text or "").split("\n") if len(t) >= 20)
+    assert len(left) == len({root(t) for t in kinds}) and all(root(a) != root(b) for a in left for b in left if a != b)
+    assert {x.doc_id for x in kept.where("text is null or text = ''").collect()} >= {26, 27}
+    assert lines.near_duplicate_lines(df.limit(0)).count() == 0 and lines.drop_lines(df.limit(0), lines.near_duplicate_lines(df.limit(0))).count() == 0
+
+
+def test_mixing(spark):
+    r = random.Random(3)
+    texts = [prose(r, r.randrange(0, 300)) for _ in range(300)] + [None, "", (None, "a b c"), (7, "x y z"), (7, "x y z")]
+    sources = [("b" if i % 3 else "é") if i % 7 else None for i in range(300)] + ["a", "a", "b", "tiny", "tiny"]
+    df = documents(spark, texts, sources)
+    got = mixing.mix(df, block=16).collect()
+    assert len(got) == len(texts) and all(0 <= x.taken <= 2 * x.size for x in got)
+    sizes = {x.source: x.source_size for x in got}
+    left, target = 1.5 * sum(sizes.values()), {}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    open_ = set(sizes)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 2 * sizes[s]}
+        for s in over or open_:
+            target[s] = 2.0 * sizes[s] if over else weight[s] * level
+            left -= target[s] if over else 0
+        open_ = open_ - over if over else set()
+    for s in sizes:
+        assert math.isclose(target[s], next(x.target for x in got if x.source == s), rel_tol=1e-9, abs_tol=1e-9)
+        assert abs(sum(x.taken for x in got if x.source == s) - target[s]) <= 0.03 * target[s] + 64
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7), block=16).collect()))
+    assert mixing.mix(df.limit(0)).count() == 0
+    assert [x.taken for x in mixing.mix(documents(spark, [None, ""])).collect()] == [0, 0]
+
+
+def test_fingerprints(spark):
+    r = random.Random(4)
+    texts = ["\n".join(prose(r, r.randrange(1, 30)) for _ in range(r.randrange(1, 5))) for _ in range(40)]
+    texts += [None, "", "one", texts[0], "\n".join(reversed(texts[1].split("\n"))), "é" * 9, "long word " * 3000, (5, texts[4]), (5, texts[4]), (None, "no id")]
+    df = documents(spark, texts)
+    got = sorted(fingerprints.fingerprints(df).collect(), key=lambda x: (x.doc_id is not None, x.doc_id or 0, x.n_chars))
+    rows = sorted(((x.doc_id, x.text or "") for x in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, len(x[1])))
+    assert [(x.doc_id, x.n_chars) for x in got] == [(i, len(t)) for i, t in rows]
+    sums = collections.Counter()
+    for k, (_, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        q = len(t) // 4
+        sums[hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()] += 1
+    assert sums == collections.Counter(x.edited_sha256 for x in got)
+    prints = collections.defaultdict(set)
+    for x, (_, t) in zip(got, rows, strict=True):
+        prints["\n".join(sorted(t.split("\n")))].add(x.fingerprint)
+        assert 0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1
+    assert all(len(p) == 1 for p in prints.values()) and len(set.union(*prints.values())) == len(prints)
+    long = [x for x in got if 300 < x.n_chars < 20000]
+    assert sum(x.near_edited > x.near_next for x in long) >= 0.9 * len(long)
+    assert fingerprints.fingerprints(df.limit(0)).count() == 0
+    lone = fingerprints.fingerprints(documents(spark, ["a b c d e f g h"])).first()
+    assert lone.near_next == 1.0
+
+
+def test_fingerprints_add_and_subtract(spark):
+    df = spark.createDataFrame([(1, "a b\nc d e"), (2, "f g h"), (3, "f g h\na b\nc d e")], "key bigint, text string")
+    s = {x.key: x for x in fingerprints.fingerprint_sums(df).collect()}
+    c = spark.createDataFrame([(s[1].wide, s[2].wide, s[3].wide, s[1].packed, s[2].packed, s[3].packed)], "a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>, e array<bigint>, f array<bigint>")
+    x = c.select(fingerprints.combine(F.col("a"), F.col("b"), 32) == F.col("c"), fingerprints.combine(F.col("f"), F.col("e"), 48, -1) == F.col("d")).first()
+    assert x[0] and x[1]
+
+
+def test_next_text_over_many_ranges(spark):
+    ids = [*range(0, 400, 3), None, 12, 12, -(2**63)]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id bigint, text string")
+    got = fingerprints.with_next(df, rows=10).collect()
+    order = sorted(((-(2**63) if i is None else i), i is not None, f"t{k}") for k, i in enumerate(ids))
+    want = {t: order[(k + 1) % len(order)][2] for k, (_, _, t) in enumerate(order)}
+    assert len(got) == len(ids) and {x.text: x.next for x in got} == want and len({x.key for x in got}) == len(ids)
+
+
+def test_pitman_yor_against_plain_counts(spark):
+    r = random.Random(6)
+    texts = [prose(r, r.randrange(1, 80)) for _ in range(120)] + [None, "", "É É é", "Aa aA AA", (None, "w1 w2"), (5, "w1 w2"), "z " * 20000]
+    df = documents(spark, texts).withColumn("fit", F.col("doc_id") % 4 != 1)
+    got = pitman_yor.score_texts(df, "fit", batch_bytes=3000).collect()
+    assert len(got) == len(texts)
+    tokens = lambda t: [*WORD.findall((t or "").translate(UPPER)), None]
+    rows = [(x.doc_id, x.text, bool(x.fit)) for x in df.collect()]
+    count = collections.Counter(w for _, t, fit in rows if fit for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    base = lambda t: sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
+    want = collections.Counter((i, fit, len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, round(base(t), 6)) for i, t, fit in rows)
+    assert collections.Counter((x.doc_id, x.train, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
+    assert all(x.score < 0 for x in got) and sum(x.score for x in got if not x.train) > sum(x.base_score for x in got if not x.train)
+    nothing = pitman_yor.score_texts(df.where("fit is null"), "fit").collect()
+    assert [x.train_tokens for x in nothing] == [0] * len(nothing) and pitman_yor.score_texts(df.limit(0), "fit").count() == 0
+
+
+def test_pitman_yor_is_a_distribution():
+    """Predictive probabilities of all words and the unknown one, in any context, sum to 1."""
+    import numpy as np
+
+    random_ = np.random.default_rng(1)
+    batch = pitman_yor._Batch()
+    for k in range(30):
+        batch.add(k, True, b" ".join(b"w%d" % x for x in random_.zipf(1.6, 40) % 25))
+    parts = [body for kind, _, _, body in batch.rows(0, 1) if kind == 1]
+    words_, word, context, n = pitman_yor._merge(parts)
+    s = pitman_yor.Seating(words_, word, context, n)
+    d, total, samples = (0.5, 0.6, 0.7), pitman_yor.Totals(s.totals()), []
+    for k in range(4):
+        pitman_yor.sweep(s, total, d, random_)
+        total = pitman_yor.Totals(s.totals())
+        if k > 1:
+            s.samples.append((s.t2, s.t1, s.t0))
+            samples.append(total)
+    n1, n0 = s.customers()
+    assert (s.t2 <= s.count).all() and (s.t2 >= 1).all() and (s.t1 <= n1).all() and (s.t0 <= n0).all()
+    everything = np.append(words_, np.uint64(1))
+    for c in np.unique(context)[:5]:
+        order = np.argsort(everything)
+        request = (everything[order], np.ones(len(everything), np.uint16), np.full(len(everything), c, np.uint16), None)
+        logp, _ = pitman_yor.answer(s, samples, d, request)
+        assert abs((10**logp).sum() - 1) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def two_languages():
+    r = random.Random(8)
+    parts = {"xx": ["ka", "lo", "mi", "ru", "za", "te"], "yy": ["schn", "ung", "eil", "acht", "über", "ich"]}
+    texts, langs = [], []
+    for i in range(160):
+        lang = ("xx", "yy")[i % 2]
+        texts.append(" ".join("".join(r.choice(parts[lang]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(3, 60))))
+        langs.append(lang)
+    return texts, langs
+
+
+def test_language(spark, two_languages):
+    texts, langs = two_languages
+    odd = [None, "", "123 !!", "½ 7", (None, "kalomi"), "ka" * 60000, (4, texts[3])]
+    df = documents(spark, [*texts, *odd], langs=[*langs, *["xx"] * 5, None, "yy"])
+    model = language.fit_centroids(df.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), "text", "lang"))
+    got = language.identify(df, model).collect()
+    assert len(got) == len(texts) + len(odd) and all(0 <= x.score <= 1 for x in got)
+    assert all(x.lang_pred == langs[x.doc_id - 1] for x in got[: len(texts)])
+    assert [x.lang_pred for x in got[len(texts) :]] == ["und", "und", "und", "und", "xx", "xx", "yy"]
+    assert {x.lang_pred for x in language.identify(df, None).collect()} == {"und"}
+    assert language.fit_centroids(df.limit(0).select(F.col("doc_id").alias("id"), "text", "lang")) is None
+    assert language.identify(df.limit(0), model).count() == 0
+
+
+def test_quality(spark):
+    r = random.Random(9)
+    texts = [prose(r, 40) if i % 4 else " ".join(f"{w.upper()}!!" for w in prose(r, 40).split()) for i in range(200)]
+    df = documents(spark, [*texts, None, "", (None, "w1"), (4, "w2"), "w3 " * 40000])
+    labels = spark.createDataFrame([(i, int(i % 4 != 1) if i % 50 else None) for i in range(1, 201)], "id bigint, label int")
+    model = quality.fit_quality(df.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("id"), "text"), labels)
+    got = quality.score_quality(df, model).collect()
+    assert len(got) == len(texts) + 5 and set(got[0].asDict()) == {*df.columns, "quality_score"}
+    right = [(x.quality_score >= 0.5) == (x.doc_id % 4 != 1) for x in got[: len(texts)] if x.doc_id % 3 == 1]
+    assert sum(right) >= 0.97 * len(right) and all(0 <= x.quality_score <= 1 for x in got)
+    for few in (labels.limit(0), labels.where("label = 1")):
+        assert len({x.quality_score for x in quality.score_quality(df, quality.fit_quality(df.select(F.col("doc_id").alias("id"), "text"), few)).collect()}) == 1
+
+
+def plain_words(r, n):
+    return " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+
+
+def test_decontamination(spark):
+    r = random.Random(10)
+    items = [plain_words(r, 30) for _ in range(6)] + ["too short", "", None, plain_words(r, 9)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    changed = items[1].split()
+    for k in range(3, 30, 9):
+        changed[k] = "other"
+    clean = [plain_words(r, 50) for _ in range(20)]
+    texts = [*clean, "pre " + items[0].upper() + ", post", " ".join(changed), " ".join(items[2].split()[5:20]), " ".join(items[3].split()[:8]), None, "", (None, items[4]), (21, "pre " + items[0]), items[9], "x " * 50000 + items[5]]
+    df = documents(spark, texts)
+    got = {(x.doc_id, x.item_id) for x in decontamination.overlaps(df, bench).collect()}
+    assert got == {(21, 0), (22, 1), (23, 2), (None, 4), (29, 9), (30, 5)}
+    kept = decontamination.decontaminate(df, bench)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {*range(1, 21), 24, 25, 26}
+    assert decontamination.overlaps(df.limit(0), bench).count() == 0 and decontamination.overlaps(df, bench.limit(0)).count() == 0
+    assert decontamination.decontaminate(df, bench.limit(0)).count() == len(texts)
+
+
+def test_longest_overlap_against_brute_force():
+    import numpy as np
+
+    r = random.Random(11)
+    for _ in range(200):
+        same = np.array([r.random() < 0.7 for _ in range(r.randrange(1, 25))])
+        best = max([j - i for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i:j].sum() >= 0.75 * (j - i)], default=0)
+        start, length = decontamination.longest_overlap(same, 0.75)
+        assert length <= best and (best == 0 or length >= best * 0.7) and (not length or same[start] and same[start + length - 1])
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice"><p>We use cookies, a long notice indeed.</p></div>
+%s
+<aside><p>Side text</p></aside><section id="comments"><p>A reader's comment</p></section><form><p>Name</p></form><footer>&copy; x</footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<article><h1>Head &amp; line</h1><p>One  two<br>three <b>four</b></p><p>.</p></article>", "Head & line\nOne two\nthree four\n."),
+        ("<main><p>a&nbsp;b &#233;&lt;p&gt;</p><div class='ad banner'>Buy</div><table><tr><td>c</td><td>d</td></tr></table></main>", "a b é<p>\nc\nd"),
+        ("<div id='content'><p>Some text of the page that is long.</p><p>x</p></div>", "Some text of the page that is long.\nx"),
+        ("<article></article>", ""),
+        ("<article><p>1 < 2 and 3 > 2</p><pre>a\n  b</pre>", "1 < 2 and 3 > 2\na b"),
+    ],
+)
+def test_main_text(body, want):
+    assert html.main_text(PAGE % body) == want
+
+
+def test_extract(spark):
+    rows = [(1, "u", PAGE % "<article><p>é</p></article>", 5), (2, None, None, 1), (None, "u", "", 2), (4, "u", "plain", 3), (4, "u", "<article>" + "<p>word word</p>" * 20000, 3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
+    got = html.extract(pages).collect()
+    assert [(x.page_id, x.url, x.n_chars) for x in got] == [(1, "u", 1), (2, None, 0), (None, "u", 0), (4, "u", 5), (4, "u", 20000 * 10 - 1)]
+    assert got[0].text == "é" and html.extract(pages.limit(0)).count() == 0
+
+
+def test_licenses(spark):
+    rows = [
+        ("a", "r/LICENSE", "Licensed under the Apache License, Version 2.0"), ("b", "r/x/y/f.c", "int main"), ("c", "r/x/COPYING", "Released under the MIT License\nmore text"),
+        ("d", "r/x/g.c", "// SPDX-License-Identifier: MPL-2.0\nThis Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("e", "r/h.c", None), ("f", "q/z.c", ""),
+        ("g", None, "This work is licensed under the GNU General Public License, version 3."), ("h", None, "nothing"), ("i", "r/long", "word " * 30000 + "\nLicensed under CC BY-NC 4.0."), (None, "r/n", None),
+    ]
+    files = spark.createDataFrame([(*x, 1) for x in rows], "file string, path string, text string, term int")
+    got = {x.file: (x.licence, x.found) for x in licenses.scan(files).collect()}
+    assert got == {
+        "a": ("Apache-2.0", "line"), "b": ("MIT", "directory"), "c": ("MIT", "line"), "d": ("MPL-2.0", "line"), "e": ("Apache-2.0", "directory"), "f": (None, None),
+        "g": ("GPL-3.0", "line"), "h": (None, None), "i": ("CC-BY-NC-4.0", "line"), None: ("Apache-2.0", "directory"),
+    }
+    assert licenses.scan(files.limit(0)).count() == 0
+
+
+def test_words(spark):
+    texts = ["A  b\tC", "É Z", "", None, " \n", "x y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [x[0] for x in df.select(words(F.col("t"), True)).collect()] == [WORD.findall((t or "").translate(UPPER)) for t in texts]
+    assert [x[0] for x in df.select(ascii_lower(F.col("t"))).collect()] == [t and t.translate(UPPER) for t in texts]
+
+
+def test_crc(spark):
+    from tessera.llm.common import id_remainder
+
+    got = spark.createDataFrame([(1,), (20,), (None,)], "i bigint").select(id_remainder(F.col("i"), 5)).collect()
+    assert [x[0] for x in got] == [zlib.crc32(str(i).encode()) % 5 if i else 0 for i in (1, 20, None)]
