@@ -32,6 +32,8 @@ _NAMED = re.compile(
     r"|comment\w*|respond|reply|replies|disqus\w*|social|share|sharing|related|recommend\w*|widget\w*|toolbar|pagination|pager|skip\w*|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Names that only say whether the page has such a part.
+_ABOUT = re.compile(r"(?:^|\s)(?:no|has|with|without|hide|show)[-_]\S+", re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Lines that stand for the markup removed around a part of the page.
@@ -42,13 +44,13 @@ def _around(name: str, attrs: str) -> bool:
     """Whether an element is something around the article, by its name, class, id or role."""
     if name in _AROUND:
         return True
-    if not attrs or name in ("html", "body") or name in _ROOTS:
+    if not attrs or name in ("html", "body", "main"):
         return False
     for key, *values in _ATTRIBUTE.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and _NAMED.search(value):
+        if key in ("class", "id") and _NAMED.search(_ABOUT.sub(" ", value)):
             return True
     return False
 
@@ -65,6 +67,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     linked = 0
     skip: list[str] = []  # open elements from the one that is around the article on
     roots = links = 0
+    begun = False  # an article or main element was seen
 
     def flush() -> None:
         nonlocal linked
@@ -92,7 +95,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         if skip:
-            if name in _ROOTS and not m["end"] and not roots:
+            own = name in _ROOTS and not m["end"] and not begun and skip[0] != "aside" and not _around(name, m["attrs"])
+            if own:
                 skip.clear()  # an element left open before the article
             elif m["end"]:
                 if name == "body":
@@ -122,6 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             else:
                 gap()
                 roots += 1
+                begun = True
         elif name not in _INLINE:
             flush()
     if at < len(page) and not skip:

@@ -347,6 +347,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<main><p>a&nbsp;b &#233;&lt;p&gt;</p><div class='ad banner'>Buy</div><table><tr><td>c</td><td>d</td></tr></table></main>", "a b é<p>\nc\nd"),
         ("<div id='content'><p>Some text of the page that is long.</p><p>x</p></div>", "Some text of the page that is long.\nx"),
         ("<article></article>", ""),
+        ("<div class='page has-sidebar'><div class='sidebar'>left open<article class='post'><p>kept</p></article></div>", "kept"),
+        ("<article><p>text</p></article><ol class='comment-list'><li><article class='comment'><p>said</p></article></li></ol>", "text"),
         ("<article><p>1 < 2 and 3 > 2</p><pre>a\n  b</pre>", "1 < 2 and 3 > 2\na b"),
     ],
 )
