@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,14 +21,16 @@ class Scratch:
     """Intermediate tables as Parquet in the shared folder of ``spark.checkpoint.dir``.
 
     A written table cuts the lineage and survives lost executors. Where the setting is absent
-    (local tests) a temporary folder of this machine is used.
+    (local tests) a temporary folder of this machine is used, and removed when Python ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            local = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            root = f"file://{local}"
         self.root = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
         self.count = 0
 
