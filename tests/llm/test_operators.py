@@ -145,6 +145,20 @@ def test_line_classes_against_brute_force(spark):
     assert lines.near_duplicate_lines(df.limit(0)).count() == 0 and lines.drop_lines(df.limit(0), lines.near_duplicate_lines(df.limit(0))).count() == 0
 
 
+def test_equal_lines_of_any_length(spark):
+    near = "a line that is long enough to be compared by edits"
+    texts = ["short\nok\n" + near, "ok\n\nshort\nShort", near.replace("long", "lung") + "\n \t\nshort", "short\n\n\nok", None, "", " \n\n"]
+    df = documents(spark, texts)
+    got = lines.near_duplicate_lines(df)
+    rows = {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no, x.class_size, x.kept) for x in got.collect()}
+    assert rows == {
+        (1, 0): (1, 0, 4, True), (2, 2): (1, 0, 4, False), (3, 2): (1, 0, 4, False), (4, 0): (1, 0, 4, False), (1, 1): (1, 1, 3, True),
+        (2, 0): (1, 1, 3, False), (4, 3): (1, 1, 3, False), (2, 3): (2, 3, 1, True), (1, 2): (1, 2, 2, True), (3, 0): (1, 2, 2, False),
+    }
+    kept = {x.doc_id: x.text for x in lines.drop_lines(df, got).collect()}
+    assert kept == {1: texts[0], 2: "\nShort", 5: None, 6: "", 7: " \n\n"}
+
+
 def test_mixing(spark):
     r = random.Random(3)
     texts = [prose(r, r.randrange(0, 300)) for _ in range(300)] + [None, "", (None, "a b c"), (7, "x y z"), (7, "x y z")]
