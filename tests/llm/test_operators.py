@@ -337,6 +337,34 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(df, bench.limit(0)).count() == len(texts)
 
 
+def test_masks_reach_the_share():
+    """No stretch whose ends and three quarters of whose words agree is without a hit: goes through the last words of
+    all stretches without one, with the highest sum of 1 a word that agrees and -3 a word that doesn't."""
+    masks = [(len(m), int(m, 2)) for m in decontamination.MASKS]
+    span = max(n for n, _ in masks)
+    best = {(1, 1): 1}
+    for length in range(2, 200):
+        new = {}
+        for (last, known), total in best.items():
+            for agrees in (0, 1):
+                now, k = (last << 1 | agrees) & (1 << span) - 1, min(known + 1, span)
+                if not any(k >= n and now & m == m for n, m in masks):
+                    new[now, k] = max(new.get((now, k), -(10**9)), total + (1 if agrees else -3))
+        best = new
+        assert length < 8 or all(total < 0 for (last, _), total in best.items() if last & 1), length
+
+
+def test_decontamination_of_spread_changes(spark):
+    r = random.Random(12)
+    items = [plain_words(r, n) for n in (50, 200, 8, 9, 16)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    change = lambda t, at: " ".join(f"other{k}" if k in at else w for k, w in enumerate(t.split()))
+    texts = [change(items[0], range(3, 50, 4)), change(items[1], range(2, 199, 4)), change(items[2], {4}), change(items[3], {3, 6}), change(items[4], {3, 6, 9, 12})]
+    docs = documents(spark, [f"before it {t} after it" for t in texts] + [change(items[0], range(0, 50, 2))])
+    assert {(x.doc_id, x.item_id) for x in decontamination.overlaps(docs, bench).collect()} == {(k + 1, k) for k in range(5)}
+    assert [x.doc_id for x in decontamination.decontaminate(docs, bench).collect()] == [6]
+
+
 def test_longest_overlap_against_brute_force():
     import numpy as np
 
