@@ -159,6 +159,34 @@ def test_equal_lines_of_any_length(spark):
     assert kept == {1: texts[0], 2: "\nShort", 5: None, 6: "", 7: " \n\n"}
 
 
+def test_lines_with_changed_words(spark):
+    r = random.Random(13)
+    pairs = []
+    for n in [*range(1, 45), 59, 60, 83, 200]:
+        for _ in range(3):
+            a = [f"w{r.randrange(60)}" for _ in range(n)]
+            b = list(a)
+            for _ in range(r.randrange(0, n // 20 + 2)):
+                at = r.randrange(len(b) + 1)
+                b[at : at + r.randrange(2)] = ["changed"] * r.randrange(2)
+            pairs.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    keys = [F.coalesce(lines.word_keys(F.col(c), 5), F.array().cast("array<bigint>")) for c in "ab"]
+    linked = 0
+    for x in df.select("a", "b", lines.within_words(F.col("a"), F.col("b"), 5).alias("near"), F.arrays_overlap(*keys).alias("share")).collect():
+        a, b = x.a.split(), x.b.split()
+        near = edits(a, b) <= min(len(a), len(b)) // 20 and min(len(a), len(b)) >= 20
+        assert x.near == near and (x.share or not near)
+        linked += near
+    assert linked > 40
+    long = [f"word{k}" for k in range(83)]
+    one, two = "".join(chr(0x4E00 + k) for k in range(60)), [f"other{k}" for k in range(19)]
+    texts = [" ".join(long), " ".join(["x" if k == 40 else w for k, w in enumerate(long)]), " ".join([*long[:30], "put", "in", *long[30:]]),
+             " ".join([f"y{k}" if k % 10 == 0 else w for k, w in enumerate(long)]), one, one[:20] + "ab" + one[21:40] + one[41:], " ".join(two), " ".join(["changed", *two[1:]])]
+    got = lines.near_duplicate_lines(documents(spark, texts)).collect()
+    assert {x.doc_id: x.first_doc_id for x in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
 def test_mixing(spark):
     r = random.Random(3)
     texts = [prose(r, r.randrange(0, 300)) for _ in range(300)] + [None, "", (None, "a b c"), (7, "x y z"), (7, "x y z")]
