@@ -65,10 +65,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column, lower: bool = False) -> Column:
-    """The maximal runs of characters other than space and U+0009..U+000D; none for null."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
-    parts = F.split(ascii_lower(bare) if lower else bare, SEPARATOR_PATTERN)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(parts)
+    """The maximal runs of characters other than space and U+0009..U+000D; none for null.
+
+    A split at a single plain character is much faster than one at a regular expression.
+    """
+    text = F.coalesce(text, F.lit(""))
+    text = ascii_lower(text) if lower else text
+    for c in SEPARATORS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -91,7 +96,7 @@ def shingle_hashes(tokens: Column, k: int) -> Column:
     return let(tokens, roll)
 
 
-def keyed(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = 1_000_000) -> DataFrame:
+def keyed(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit: int = 1_000_000) -> DataFrame:
     """Semi or anti join with ``ids``: sent to all executors up to ``limit`` rows, shuffled beyond."""
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids, key, how)

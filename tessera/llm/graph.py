@@ -4,79 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
+#: Edges that one task may hold while it looks for components.
+FEW_EDGES = 500_000
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest reachable node of every node in ``edges(u, v)``: columns ``node, comp``.
 
     Alternates the large-star and small-star steps until the graph is a set of stars. Each step is
     a grouped minimum (combined before the shuffle) and a join, so a hub is never held in one task's
-    memory; the logarithmic number of rounds is written out, not kept as lineage. No edges: no rows.
+    memory; the logarithmic number of rounds is written out, not kept as lineage. Up to ``FEW_EDGES``
+    edges, counted first, stay in one partition, so that a round needs no shuffle. No edges: no rows.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
     e = scratch.write(e)
+    few = e.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+    near = lambda df: df.coalesce(1) if few else df
     before = None
     while True:
         mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi") % 1000003)).first()
         if mark == before or not mark[0]:
             break
         before = mark
-        both = e.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(e.select("lo", "hi"))
+        ends = F.array(F.struct(F.col("hi").alias("x"), F.col("lo").alias("y")), F.struct(F.col("lo").alias("x"), F.col("hi").alias("y")))
+        both = near(e).select(F.explode(ends).alias("e")).select("e.x", "e.y")
         least = both.groupBy("x").agg(F.min("y").alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.least("x", "m").alias("lo"))
         large = large.distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi")
-        small = (
-            small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .union(small.select("hi", F.col("m").alias("lo"))).distinct()
-        )
+        pair = lambda a, b: F.struct(F.col(a).alias("hi"), F.col(b).alias("lo"))
+        moved = F.array(pair("hi", "m"), F.when(F.col("lo") != F.col("m"), pair("lo", "m")))
+        small = small.select(F.explode(moved).alias("e")).where("e is not null").select("e.hi", "e.lo").distinct()
         old, e = e, scratch.write(small)
         scratch.drop(old)
-    roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct()
-    return scratch.write(e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(roots))
+    ends = F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("comp")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("comp")))
+    return scratch.write(near(e).select(F.explode(ends).alias("e")).select("e.node", "e.comp").distinct())
 
 
-def connect(index: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def connect(
+    index: DataFrame, fits: Callable[[Column, Column, Column, Column], Column], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, links: DataFrame | None = None
+) -> DataFrame:
     """Components of the graph whose links are the verified pairs of nodes that share an index key.
 
-    ``index(key, node)`` must give every linked pair a common key. ``verify(pairs)`` returns the rows of
-    ``pairs(u, v)`` that are links. Returns ``node, comp`` for nodes with a link.
+    ``index(key, node, about, rank)`` must give every linked pair a common key at which
+    ``fits(node, about, other node, other about)`` holds. ``about`` is whatever that filter needs; ``verify(pairs)``
+    returns the rows of the written table ``pairs(u, v)`` that are links. ``links(u, v)`` are known ones. Returns ``node, comp`` for nodes
+    with a link.
 
-    A key's nodes aren't paired with each other. In every round each key compares its first nodes
-    (the centres) with the others that aren't known to be connected to them, and then drops the
-    centres; centres grow fourfold a round. A pair is skipped only if both ends are connected
-    already, so the components are exact, while a key of m alike nodes costs about m comparisons.
+    A key's nodes aren't all paired. First each key compares its centre, the node of highest rank, with its others;
+    a key of m alike nodes costs m comparisons. Then the pairs that aren't connected yet, at keys with nodes of
+    several components, are compared if they fit. A pair is skipped only if both ends are connected already,
+    so the components are exact.
     """
-    shared = index.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    shared = shared.where("first < last").select("key", "first")
-    live = scratch.write(index.join(shared, "key").select("key", "node", "first").distinct())
-    pairs = live.where("node > first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    links = scratch.write(verify(pairs))
-    comp = components(links, scratch)
-    live, old = live.where("node > first").select("key", "node"), live
-    centres = 1
-    while True:
-        centres *= 4
-        known = live.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
-        mixed = known.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
-        now = scratch.write(known.join(mixed, "key", "left_semi"))
-        scratch.drop(old)
-        if now.isEmpty():
-            scratch.drop(now)
-            return comp
-        ranked = Window.partitionBy("key").orderBy("node")
-        top = now.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= centres)
-        top = scratch.write(top.select("key", F.col("node").alias("u"), F.col("c").alias("cu")))
-        pairs = now.join(top, "key").where("c <> cu and node > u").select("u", F.col("node").alias("v")).distinct()
-        found = scratch.write(verify(pairs).select("u", "v"))
-        if not found.isEmpty():
-            stars = comp.select(F.col("node").alias("u"), F.col("comp").alias("v"))
-            old_comp, comp = comp, components(stars.union(found), scratch)
-            scratch.drop(old_comp)
-        last = top.groupBy("key").agg(F.max("u").alias("done"))
-        live, old = now.join(last, "key").where("node > done").select("key", "node"), now
+    centre = F.max_by(F.struct("node", "about"), F.struct("rank", "node")).alias("centre")
+    groups = index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), centre).where("a < b")
+    live = scratch.write(index.select("key", "node", "about").join(groups.select("key", "centre"), "key").distinct())
+    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    fit = fits(F.col("node"), F.col("about"), F.col("centre.node"), F.col("centre.about"))
+    rest = live.where(F.col("node") != F.col("centre.node"))
+    first = scratch.write(rest.where(fit).select(*ordered("node", "centre.node")).distinct())
+    found = verify(first)
+    found = scratch.write(found.select("u", "v") if links is None else found.select("u", "v").union(links.select("u", "v")))
+    comp = components(found, scratch)
+    known = rest.select("key", "node", "about").join(comp, "node", "left").select("key", "node", "about", F.coalesce("comp", "node").alias("c"))
+    known = scratch.write(known)
+    mixed = known.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")
+    mixed = scratch.write(known.join(mixed, "key", "left_semi"))
+    other = mixed.select(F.col("key").alias("other_key"), F.col("node").alias("o"), F.col("about").alias("oa"), F.col("c").alias("oc"))
+    fit = fits(F.col("node"), F.col("about"), F.col("o"), F.col("oa"))
+    pairs = mixed.join(other, (F.col("key") == F.col("other_key")) & (F.col("node") < F.col("o")) & (F.col("c") != F.col("oc")) & fit)
+    pairs = pairs.select(F.col("node").alias("u"), F.col("o").alias("v")).distinct()
+    more = scratch.write(verify(scratch.write(pairs.join(first, ["u", "v"], "left_anti"))).select("u", "v"))
+    scratch.drop(live, known, mixed)
+    if more.isEmpty():
+        return comp
+    return components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more), scratch)

@@ -48,7 +48,7 @@ def mixed(spark):
     passage = prose(r, 60, 3000)
     texts += [prose(r, 12, 3000) + " " + passage for _ in range(30)]
     texts += [None, "", "  \n\t ", "a b", "A B", "a b", texts[0], texts[0].upper(), "É b c d e", "é b c d e", "w " * 5000]
-    texts += [(3, texts[2]), (None, texts[0]), (None, None), (4, "another text with id four")]
+    texts += [(3, texts[2]), (None, texts[0]), (None, None), (4, "another text with id four"), (3, texts[2]), (3, texts[2]), (90, texts[33] + " " + texts[40])]
     return documents(spark, texts)
 
 
@@ -61,7 +61,7 @@ def sets_of(text, k):
 def test_jaccard_components_against_brute_force(spark, mixed, k, percent):
     rows = [(r.doc_id, r.text) for r in mixed.collect()]
     sets = [(i, sets_of(t, k)) for i, t in rows]
-    parent = {i: i for i, _ in sets if i is not None}
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -69,16 +69,16 @@ def test_jaccard_components_against_brute_force(spark, mixed, k, percent):
         return x
 
     for a, (i, x) in enumerate(sets):
-        for j, y in sets[:a]:
+        for b, (j, y) in enumerate(sets[:a]):
             if None not in (i, j) and x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = sorted((root(i), root(j)))
-                parent[q] = p
-    want = collections.Counter((i, len(x), root(i) if i is not None else None) for i, x in sets)
-    for frequent in (1, 8):
-        got = jaccard.jaccard_components(mixed, k, percent, frequent_above=frequent).collect()
-        diff = {x: n for x, n in want.items() if x[0] not in (3, 4)}
-        assert collections.Counter(tuple(x) for x in got if x.doc_id not in (3, 4)) == diff
-        assert {(x.doc_id, x.component_id) for x in got if x.doc_id in (3, 4)} == {(i, root(i)) for i in (3, 4)}
+                parent[root(a)] = root(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        least[root(a)] = i if i is None else min(i, least.get(root(a), i))
+    want = collections.Counter((i, len(x), least[root(a)]) for a, (i, x) in enumerate(sets))
+    for frequent, rare in ((1, 1), (8, 16), (8, 2)):
+        got = jaccard.jaccard_components(mixed, k, percent, frequent_above=frequent, rare=rare).drop("text_key").collect()
+        assert collections.Counter(tuple(x) for x in got) == want
     assert jaccard.jaccard_components(mixed.limit(0)).count() == 0
 
 
