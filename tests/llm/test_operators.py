@@ -107,7 +107,8 @@ def test_banded_distance_and_segments(spark, errors):
                 b.pop(min(at, len(b) - 1))
         pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string")
-    share = F.arrays_overlap(F.array_compact(lines.segment_keys(F.col("a"), errors)), F.array_compact(lines.segment_keys(F.col("b"), errors)))
+    keys = lambda c: F.array_compact(F.transform(lines.segment_probes(errors), lambda p: lines.segment_key(F.col(c), p, errors)))
+    share = F.arrays_overlap(keys("a"), keys("b"))
     for x in df.select("a", "b", lines.within_edits(F.col("a"), F.col("b"), errors).alias("near"), share.alias("share")).collect():
         near = edits(x.a, x.b) <= errors
         assert x.near == near and (x.share or not near)
@@ -171,12 +172,14 @@ def test_lines_with_changed_words(spark):
                 b[at : at + r.randrange(2)] = ["changed"] * r.randrange(2)
             pairs.append((" ".join(a), " ".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string")
-    keys = [F.coalesce(lines.word_keys(F.col(c), 5), F.array().cast("array<bigint>")) for c in "ab"]
+    keys = collections.defaultdict(set)
+    for x in lines.word_keys(df.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("line")), 5).collect():
+        keys[x.node].add(x.key)
     linked = 0
-    for x in df.select("a", "b", lines.within_words(F.col("a"), F.col("b"), 5).alias("near"), F.arrays_overlap(*keys).alias("share")).collect():
+    for x in df.select("a", "b", lines.within_words(F.col("a"), F.col("b"), 5).alias("near")).collect():
         a, b = x.a.split(), x.b.split()
         near = edits(a, b) <= min(len(a), len(b)) // 20 and min(len(a), len(b)) >= 20
-        assert x.near == near and (x.share or not near)
+        assert x.near == near and (keys[x.a] & keys[x.b] or not near)
         linked += near
     assert linked > 40
     long = [f"word{k}" for k in range(83)]
