@@ -14,43 +14,63 @@ from pyspark.sql import functions as F
 #: White space that separates words.
 SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_PATTERN = r"[\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Scratch:
     """Intermediate tables as Parquet in the shared folder of ``spark.checkpoint.dir``.
 
-    A written table cuts the lineage and survives lost executors. Where the setting is absent
-    (local tests) a temporary folder of this machine is used, and removed when Python ends.
+    A written table cuts the lineage and survives lost executors; the shuffle files of its query are removed
+    when it ends. Where the setting is absent a temporary folder of this machine is used, and removed when Python ends,
+    but only under a local master: on a cluster the executors wouldn't share it, so that is an error.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             local = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             root = f"file://{local}"
         self.root = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: set[str] = set()
 
     def write(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         if partitions:
             df = df.coalesce(partitions)
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that nothing reads any more, and let Spark release their shuffle files."""
+        """Delete tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
-        jvm.System.gc()
+            self.paths.discard(df._scratch_path)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all tables but these, which a result still reads."""
+        held = {df._scratch_path for df in frames}
+        for path in sorted(self.paths - held):
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            gone.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
+        self.paths = held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

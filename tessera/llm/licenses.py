@@ -6,10 +6,10 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import let, table
 
 #: Notices by which texts and files name their license.
 TEMPLATES = [
@@ -90,19 +90,33 @@ class Templates:
 
 
 def _cosines(units: DataFrame, keys: list[str], t: Templates, least: float) -> DataFrame:
-    """Best template of each unit whose cosine reaches ``least``: ``keys, licence, score``."""
+    """Best template of each unit whose cosine reaches ``least``: ``keys, licence, score``.
+
+    A unit of k known terms and u others has a cosine of sqrt(s / (s + u i**2)) at most, where i is the
+    weight of an unknown term and s, the sum of squares of the known ones, (k m)**2 at most for the largest weight m.
+    Units below ``least`` by that leave before any shuffle.
+    """
     spark = units.sparkSession
-    vectors = spark.sql(f"SELECT * FROM VALUES {t.rows()} AS v(template, licence, term, idf, weight)")
-    terms = units.select(*keys, F.explode(F.expr(f"regexp_extract_all(lower(_text), '{TERM}', 0)")).alias("term"))
-    terms = terms.where(~F.col("term").isin(STOP_WORDS))
+    known, largest, below = sorted(t.idf), max(t.idf.values()), least - 1e-6
+    factor = (1 / below**2 - 1) * (largest / t.unknown) ** 2
+
+    def reachable(terms: Column) -> Column:
+        k = F.size(F.filter(terms, lambda x: x.isin(known)))
+        return F.when((k > 0) & (F.size(terms) - k <= k * k * factor), terms)
+
+    every = F.filter(F.expr(f"regexp_extract_all(lower(_text), '{TERM}', 0)"), lambda x: ~x.isin(STOP_WORDS))
+    # an outer explode, as the other would filter on the array first, and so compute it twice
+    terms = units.select(*keys, F.explode_outer(let(every, reachable)).alias("term")).where("term is not null")
     counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    idf = vectors.select("term", "idf").distinct()
-    sized = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(t.unknown)))
-    norms = sized.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = sized.where("idf is not null").join(F.broadcast(vectors.select("template", "licence", "term", "weight")), "term")
-    dots = dots.groupBy(*keys, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    got = dots.join(norms, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = got.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    weights = [(w, t.idf[w], [v.get(w, 0.0) for _, v in t.vectors]) for w in known]
+    rows = ", ".join(f"('{w}', {i!r}e0, array({', '.join(f'{x!r}e0' for x in v)}))" for w, i, v in weights)
+    weights = spark.sql(f"SELECT * FROM VALUES {rows} AS v(term, idf, weights)")
+    sized = counts.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(t.unknown)))
+    dots = [F.sum(F.col("w") * F.get("weights", F.lit(i))).alias(f"d{i}") for i in range(len(t.vectors))]
+    got = sized.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    score = lambda i: F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 6)
+    some = F.array(*[F.struct((-score(i)).alias("s"), F.lit(name).alias("licence")) for i, (name, _) in enumerate(t.vectors)])
+    best = got.select(*keys, F.array_min(some).alias("b")).where(F.col("b.s") <= -least)
     return best.select(*keys, F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
@@ -113,8 +127,9 @@ def scan(files: DataFrame, least: float = 0.6, templates: list[tuple[str, str]]
     first by name), else ``directory`` if a directory above has a license, the nearest one, else null, and the
     license and score too. A directory's license is that of its licence files: files named as
     such, or whose whole text reaches the cosine; the best score, then first path, counts. Null texts and empty
-    texts have no license of their own; a null path has no directory. ``file`` must tell rows apart:
-    rows that share it are read as one file with all their lines.
+    texts have no license of their own; a null path has no directory, a null file is a file like others. ``file`` must tell
+    rows apart: rows that share it are read as one file with all their lines. Texts of any length count whole; other
+    columns are ignored; no files give no rows. Ties go to the first license by name.
 
     Texts without any of the terms that a match needs (``Templates.needed``) are passed over at once: they
     can't reach the cosine.
@@ -129,7 +144,10 @@ def scan(files: DataFrame, least: float = 0.6, templates: list[tuple[str, str]]
     own = own.select("file", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("own_score"))
     whole = likely.select("file", F.col("text").alias("_text"))
     whole = _cosines(whole, ["file"], t, least).select("file", F.col("licence").alias("whole"), F.col("score").alias("whole_score"))
-    known = files.drop("text").join(own, "file", "left").join(whole, "file", "left")
+    known = files.drop("text")
+    for found in (own, whole):  # a null file is a file
+        found = found.withColumnRenamed("file", "of")
+        known = known.join(found, F.col("file").eqNullSafe(F.col("of")), "left").drop("of")
     named = F.col("path").rlike(LICENCE_FILE) & F.col("own").isNotNull()
     holders = known.where(named | F.col("whole").isNotNull()).withColumn("directory", F.regexp_replace("path", "/?[^/]*$", ""))
     holders = holders.where("directory is not null")

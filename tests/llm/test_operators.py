@@ -441,13 +441,13 @@ def test_licenses(spark):
     rows = [
         ("a", "r/LICENSE", "Licensed under the Apache License, Version 2.0"), ("b", "r/x/y/f.c", "int main"), ("c", "r/x/COPYING", "Released under the MIT License\nmore text"),
         ("d", "r/x/g.c", "// SPDX-License-Identifier: MPL-2.0\nThis Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("e", "r/h.c", None), ("f", "q/z.c", ""),
-        ("g", None, "This work is licensed under the GNU General Public License, version 3."), ("h", None, "nothing"), ("i", "r/long", "word " * 30000 + "\nLicensed under CC BY-NC 4.0."), (None, "r/n", None),
+        ("g", None, "This work is licensed under the GNU General Public License, version 3."), ("h", None, "nothing"), ("i", "r/long", "word " * 30000 + "\nLicensed under CC BY-NC 4.0."), (None, "s/n", "SPDX-License-Identifier: MIT"),
     ]
     files = spark.createDataFrame([(*x, 1) for x in rows], "file string, path string, text string, term int")
     got = {x.file: (x.licence, x.found) for x in licenses.scan(files).collect()}
     assert got == {
         "a": ("Apache-2.0", "line"), "b": ("MIT", "directory"), "c": ("MIT", "line"), "d": ("MPL-2.0", "line"), "e": ("Apache-2.0", "directory"), "f": (None, None),
-        "g": ("GPL-3.0", "line"), "h": (None, None), "i": ("CC-BY-NC-4.0", "line"), None: ("Apache-2.0", "directory"),
+        "g": ("GPL-3.0", "line"), "h": (None, None), "i": ("CC-BY-NC-4.0", "line"), None: ("MIT", "line"),
     }
     assert licenses.scan(files.limit(0)).count() == 0
 
