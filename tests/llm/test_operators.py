@@ -319,30 +319,68 @@ def test_pitman_yor_is_a_distribution():
     """Predictive probabilities of all words and the unknown one, in any context, sum to 1."""
     import numpy as np
 
-    random_ = np.random.default_rng(1)
-    batch = pitman_yor._Batch()
+    random_, bits = np.random.default_rng(1), 12
+    batch = pitman_yor._Batch(bits)
     for k in range(30):
         batch.add(k, True, b" ".join(b"w%d" % x for x in random_.zipf(1.6, 40) % 25))
     parts = [body for kind, _, _, body in batch.rows(0, 1) if kind == 1]
-    words_, word, context, n = pitman_yor._merge(parts)
-    s = pitman_yor.Seating(words_, word, context, n)
-    d, total, samples = (0.5, 0.6, 0.7), pitman_yor.Totals(s.totals()), []
+    words_, word, context, n = pitman_yor._merge(parts, bits)
+    s = pitman_yor.Seating.of(pitman_yor.Seating(words_, word, context, n, bits).state())
+    d, total, samples = (0.5, 0.6, 0.7), pitman_yor.Totals(s.totals(), bits), []
     for k in range(4):
         pitman_yor.sweep(s, total, d, random_)
-        total = pitman_yor.Totals(s.totals())
+        total = pitman_yor.Totals(s.totals(), bits)
         if k > 1:
-            s.samples.append((s.t2, s.t1, s.t0))
+            s.samples.append(pitman_yor._sample(s))
             samples.append(total)
-    n1, n0 = s.customers()
-    assert (s.t2 <= s.count).all() and (s.t2 >= 1).all() and (s.t1 <= n1).all() and (s.t0 <= n0).all()
+    t2, t1, t0 = (x.count() for x in (s.pairs, s.mid, s.top))
+    assert (s.pairs.n == n).all() and (s.mid.n == np.bincount(s.group, t2)).all() and (s.top.n == np.bincount(s.groups // pitman_yor.PARENTS, t1)).all()
+    for x in (s.pairs, s.mid, s.top):
+        assert (x.count() <= x.n).all() and (x.count() >= 1).all() and (np.bincount(x.dish, x.size, len(x.n))[x.n > 1] == x.n[x.n > 1]).all()
     everything = np.append(words_, np.uint64(1))
     for c in np.unique(context)[:5]:
         order = np.argsort(everything)
-        request = (everything[order], np.ones(len(everything), np.uint16), np.full(len(everything), c, np.uint16), None)
+        request = (everything[order], np.ones(len(everything), np.uint32), np.full(len(everything), c, np.uint32), None)
         logp, _ = pitman_yor.answer(s, samples, d, request)
         assert abs((10**logp).sum() - 1) < 1e-9
 
 
+def test_seats_against_a_plain_sampler():
+    """Mean numbers of tables of one restaurant are those of a sampler that moves customer by customer."""
+    import numpy as np
+
+    counts, discount, parent = np.array([1, 2, 5, 20]), 0.5, np.array([0.1, 0.2, 0.3, 0.05])
+    random_ = np.random.default_rng(3)
+    plain, fast = np.zeros(4), np.zeros(4)
+    seats = [[n] for n in counts]
+    r = random.Random(4)
+    for k in range(3000):
+        for i, tables in enumerate(seats):
+            for _ in range(min(counts[i], 4)):
+                if counts[i] < 2:
+                    continue
+                tables[r.choices(range(len(tables)), tables)[0]] -= 1
+                tables[:] = [x for x in tables if x]
+                others = sum(map(len, seats)) - len(tables)
+                weights = [x - discount for x in tables] + [(pitman_yor.STRENGTH + discount * (others + len(tables))) * parent[i]]
+                at = r.choices(range(len(weights)), weights)[0]
+                tables[at:at + 1] = [tables[at] + 1] if at < len(tables) else [1]
+        plain += [len(x) for x in seats] if k >= 500 else 0
+    tables = pitman_yor.Tables(counts)
+    for k in range(3000):
+        for i in range(4):  # one dish at a time, so that the others' tables are up to date
+            one = pitman_yor.Tables(np.where(np.arange(4) == i, counts, 0))
+            one.dish, one.size = tables.dish[tables.dish == i], tables.size[tables.dish == i]
+            others = tables.count().sum() - tables.count()[i]
+            pitman_yor._resit(one, lambda who, own: (pitman_yor.STRENGTH + discount * (others + own)) * parent[who], discount, 4, random_)  # noqa: B023
+            rest = tables.dish != i
+            dish, size = np.concatenate([tables.dish[rest], one.dish]), np.concatenate([tables.size[rest], one.size])
+            order = np.argsort(dish, kind="stable")
+            tables.dish, tables.size = dish[order], size[order]
+        fast += tables.count() if k >= 500 else 0
+    assert np.allclose(plain / 2500, fast / 2500, atol=0.15), (plain / 2500, fast / 2500)
+
+
 @pytest.fixture(scope="module")
 def two_languages():
     r = random.Random(8)
