@@ -19,6 +19,7 @@ by_value(__name__)
 MASKS = ("111011", "11001011", "10100111", "11110001", "10011101", "1010111", "110111")
 _WORD = re.compile(r"\w+")
 _BLOCK_CHARS = 32_000_000
+_HITS = 1_000_000
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -26,15 +27,16 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def longest_overlap(same: np.ndarray, share: float) -> tuple[int, int]:
-    """Start and length of the longest stretch of which ``share`` of the positions agree; trimmed to agreeing ends."""
+    """Start and length of the longest stretch whose ends agree, and ``share`` of whose positions do."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
     height = np.concatenate([[0.0], np.cumsum(same - share)]) + np.arange(len(same) + 1) * 1e-9
-    low = np.minimum.accumulate(height)
-    first = len(low) - np.searchsorted(low[::-1], height, side="right")  # the first place no higher
-    length = np.arange(len(height)) - first
+    low, high = np.minimum.accumulate(height[at]), height[at + 1]
+    first = len(low) - np.searchsorted(low[::-1], high, side="right")  # the first start that is no higher than the end
+    length = at - at[first] + 1
     end = int(length.argmax())
-    start = int(first[end])
-    at = np.flatnonzero(same[start:end])
-    return (start + int(at[0]), int(at[-1] - at[0]) + 1) if len(at) else (0, 0)
+    return int(at[first[end]]), int(length[end])
 
 
 class SeedIndex:
@@ -105,13 +107,17 @@ class SeedIndex:
             hashes, places = hashes[likely], places[likely]
             lo, hi = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
             n = hi - lo
-            hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
-            place = np.repeat(places, n)
-            found.append(np.stack([self.owners[hit], place - self.places[hit], place]))
-        owner, diagonal, place = np.concatenate(found, axis=1)
-        text = np.searchsorted(starts, place, "right") - 1
+            ends = np.cumsum(n)
+            # words that repeat in a text and an item hit at every pair of places: a bounded number of hits at a time
+            cuts = [*np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, _HITS)).tolist(), len(n)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                some = n[a:b]
+                hit = np.repeat(lo[a:b] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                place = np.repeat(places[a:b], some)
+                text = np.searchsorted(starts, place, "right") - 1
+                found.append(np.unique(np.stack([text, self.owners[hit], place - self.places[hit]], axis=1), axis=0))
         best: dict[tuple[int, int], tuple] = {}
-        for k, i, d in np.unique(np.stack([text, owner, diagonal], axis=1), axis=0).tolist():
+        for k, i, d in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
             item = self.items[i]
             lo = max(starts[k] - d, 0)
             hi = min(starts[k] + len(rows[k]) - gap - d, len(item))
@@ -150,12 +156,16 @@ def overlaps(
     agrees in ``share`` of its positions, so substituted words don't hide a passage. Items of fewer than
     ``shortest`` words can't be told from chance and are passed over. One row a document row and item, with
     the longest stretch. Null and empty texts match nothing; null ids and repeated rows are reported like
-    others. The benchmark is read in blocks of a fixed size, and every block meets all documents.
+    others; texts of any length count whole; other columns are ignored; an empty table on either side gives no
+    rows. The benchmark is read in blocks of a fixed size, and every block meets all documents.
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     item_type = benchmark.schema["item_id"].dataType
+    arrow_type = to_arrow_type(item_type)
     fields = [StructField("doc_id", docs.schema[id_col].dataType), StructField("item_id", item_type)]
     schema = StructType([*fields, *[StructField(c, LongType()) for c in ("doc_start", "length", "agreeing")]])
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -170,7 +180,7 @@ def overlaps(
                 got = list(index.find(b["text"].to_pylist()))
                 if got:
                     text, item, *rest = zip(*got, strict=True)
-                    ids = pa.array([index.ids[i] for i in item])
+                    ids = pa.array([index.ids[i] for i in item], arrow_type)
                     yield pa.RecordBatch.from_arrays(
                         [b["doc_id"].take(pa.array(text)), ids, *[pa.array(x, pa.int64()) for x in rest]],
                         names=["doc_id", "item_id", "doc_start", "length", "agreeing"],
@@ -184,7 +194,7 @@ def overlaps(
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.75, shortest: int = 8, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``overlaps`` doesn't report."""
+    """The rows of ``docs``, with all their columns, that ``overlaps`` doesn't report; null and empty texts stay."""
     for index in seed_indexes(benchmark, window, share, shortest):
         sent = docs.sparkSession.sparkContext.broadcast(index.__dict__)
 

@@ -27,6 +27,7 @@ class Centroids:
         seen = (counts > 0).sum(axis=0)
         self.idf = (np.log((1 + len(counts)) / (1 + seen)) + 1).astype(np.float32)
         x = self.vectors(counts)
+        self.rows = len(langs)
         self.langs, centres, owner, floors = sorted(set(langs)), [], [], []
         of = np.array([self.langs.index(v) for v in langs])
         for k in range(len(self.langs)):
@@ -72,27 +73,38 @@ class Centroids:
 def fit_centroids(
     labelled: DataFrame, max_rows: int = 3000, clusters: int = 3, reject: float = 0.002
 ) -> Centroids | None:
-    """Learn from ``labelled(id, text, lang)``: at most ``max_rows`` rows in all, the same number for each
-    language, chosen by a hash of the id. N-grams are counted on the executors. None if nothing can be learnt."""
-    labelled = labelled.where("lang is not null and text is not null")
-    langs = labelled.select("lang").distinct().count()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    few = labelled.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= max(max_rows // max(langs, 1), 1))
-    few = labelled.join(F.broadcast(few.select("id", "lang")), ["id", "lang"])
+    """Learn from ``labelled(id, text, lang)``: at most ``max_rows`` rows in all, of the ``max_rows`` most frequent languages, the
+    same number for each, chosen by a hash of id and text. Rows with a null text or lang are passed over; repeated rows
+    are rows. N-grams are counted on the executors. None if nothing can be learnt.
+
+    Rows whose hash is above a limit that leaves half as many again as wanted go before the rest is ranked, so no task
+    ranks all rows of a language.
+    """
+    spark = labelled.sparkSession
+    labelled = labelled.where("lang is not null and text is not null").withColumn("hash", F.xxhash64("id", "text"))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()
+    if not counts:
+        return None
+    each = max(max_rows // len(counts), 1)
+    limits = [(lang, int(-(2**63) + min((1.5 * each + 30) / n, 1) * (2**64 - 2048))) for lang, n in counts]
+    limits = spark.createDataFrame(limits, "lang string, most bigint")
+    few = labelled.join(F.broadcast(limits), "lang").where("hash <= most").select("id", "text", "lang", "hash")
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))).where(F.col("rank") <= each)
+    schema = pa.schema([("lang", pa.string()), ("rank", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def count(batches):
         for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"], strict=True):
+            for lang, rank, text in zip(b["lang"].to_pylist(), b["rank"].to_pylist(), b["text"], strict=True):
                 bare = letters_only(text.as_py())
                 if bare:
                     n = _counts(bare)
                     at = np.flatnonzero(n)
                     yield pa.RecordBatch.from_pydict(
-                        {"lang": [lang], "at": [at.astype(np.int32).tolist()], "n": [n[at].astype(np.int32).tolist()]},
-                        schema=pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]),
+                        {"lang": [lang], "rank": [rank], "at": [at.astype(np.int32).tolist()], "n": [n[at].astype(np.int32).tolist()]}, schema=schema
                     )
 
-    got = few.mapInArrow(count, "lang string, at array<int>, n array<int>").toArrow()
+    got = few.select("lang", "rank", "text").mapInArrow(count, "lang string, rank int, at array<int>, n array<int>").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("rank", "ascending")])
     if not got.num_rows:
         return None
     counts = np.zeros((got.num_rows, 2**BITS), dtype=np.float32)
@@ -106,7 +118,8 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
 
     ``lang_pred`` is the nearest centroid's language; ``und`` with score 0 if the text is null or has no
     letter, or nothing was learnt. ``rejected`` says that the nearest centroid is farther than nearly all
-    texts it was learnt from. Whole texts count, however long. Other columns are ignored.
+    texts it was learnt from. Whole texts count, however long; repeated rows get equal results. Other columns are
+    ignored; no documents give no rows. Languages that are equally near go by name.
     """
 
     def run(batches):

@@ -59,6 +59,7 @@ class NaiveBayesSupportVectors:
     """
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, c: float = 4.0) -> None:
+        self.rows = len(rows)
         y = np.where(labels > 0, 1.0, -1.0)
         self.weights, self.ratio = np.zeros(2**BITS), np.zeros(2**BITS)
         self.bias, self.a, self.b = 0.0, 1.0, 0.0
@@ -104,21 +105,22 @@ class NaiveBayesSupportVectors:
 
 def fit_quality(labelled: DataFrame, labels: DataFrame, max_rows: int = 6000) -> NaiveBayesSupportVectors:
     """Learn from texts ``labelled(id, text)`` and ``labels(id, label)``: at most ``max_rows`` labelled rows,
-    chosen by a hash of the id. Indicators are found on the executors; only their slots are collected."""
-    few = labels.where("label is not null").orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    few = labelled.join(F.broadcast(few), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    chosen by a hash of the id. Ids are of any type; null labels and ids are passed over, a null text is empty, repeated
+    rows are rows. Indicators are found on the executors; only their slots are collected."""
+    few = labels.where("label is not null and id is not null").orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    few = labelled.join(F.broadcast(few), "id").select(F.xxhash64("id").alias("h"), F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    few = few.withColumn("t", F.xxhash64("text")).orderBy("h", "label", "t").limit(max_rows)  # ids may repeat
+    schema = pa.schema([("h", pa.int64()), ("t", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.int32()))])
 
     def run(batches):
         for b in batches:
-            for key, label, text in zip(b["id"], b["label"], b["text"], strict=True):
+            for h, t, label, text in zip(b["h"], b["t"], b["label"], b["text"], strict=True):
                 x = indicators(text.as_py())
-                yield pa.RecordBatch.from_pydict(
-                    {"id": [key.as_py()], "label": [label.as_py()], "x": [x.astype(np.int32)]},
-                    schema=pa.schema([("id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.int32()))]),
-                )
+                yield pa.RecordBatch.from_pydict({"h": [h.as_py()], "t": [t.as_py()], "label": [label.as_py()], "x": [x.astype(np.int32)]}, schema=schema)
 
-    few = few.withColumn("label", F.col("label").cast("int")).withColumn("id", F.col("id").cast("bigint"))
-    got = few.mapInArrow(run, "id bigint, label int, x array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = few.select("h", "t", "label", "text").repartition(parts).mapInArrow(run, "h bigint, t bigint, label int, x array<int>").toArrow()
+    got = got.sort_by([("h", "ascending"), ("label", "ascending"), ("t", "ascending")])
     rows = [x.values.to_numpy().astype(np.uint16) for x in got["x"]]
     return NaiveBayesSupportVectors(rows, got["label"].to_numpy())
 
@@ -127,7 +129,8 @@ def score_quality(docs: DataFrame, model: NaiveBayesSupportVectors, id_col: str
     """``docs`` with ``quality_score`` (0 to 1, higher: the label 1 is likelier) for every row and whole text.
 
     A null text counts as empty; an empty text has no n-gram and gets the machine's bias. With no labels, or
-    labels of one class, all rows get one score. All columns of ``docs`` are kept.
+    labels of one class, all rows get one score. Texts of any length count whole; repeated rows get equal scores; no
+    documents give no rows. All columns of ``docs`` are kept, but for one named ``quality_score``, which is replaced.
     """
 
     def run(batches):
