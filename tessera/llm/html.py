@@ -26,10 +26,18 @@ _INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _AROUND = frozenset("head nav header footer aside form menu dialog select button fieldset object audio video canvas".split())
 _ROOTS = frozenset("article main".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside"
-    r"|header|masthead|footer\w*|cookie\w*|consent|notice\w*|notification\w*|alert\w*|popup|modal|newsletter|subscribe\w*|signup|login"
-    r"|comment\w*|respond|reply|replies|disqus\w*|social|share|sharing|related|recommend\w*|widget\w*|toolbar|pagination|pager|skip\w*|hidden)(?=$|[\s_-])",
+#: Elements that group others; only these are named after parts of a page.
+_BOXES = frozenset("div section article main td ul ol dl body center table blockquote".split())
+#: Words of class and id names of parts around an article, and words that go with them.
+_PARTS = re.compile(
+    r"ad|ads|advert\w*|adsense|banners?|promo\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebars?|side|aside"
+    r"|header|masthead|footers?|cookies?|consent|notices?|notifications?|alerts?|popup|modal|newsletter|subscribe|subscription|signup|login"
+    r"|comments?|respond|reply|replies|disqus|social|share|sharing|related|recommend\w*|widgets?|toolbar|pagination|pager|skip|hidden",
+    re.I,
+)
+_WITH = re.compile(
+    r"\d+|top|bottom|left|right|main|site|page|global|primary|secondary|list|box|block|bar|area|wrap|wrapper|container|section|inner|outer|content"
+    r"|group|item|items|slot|unit|posts?|articles?|stories|links?|buttons?|icons?|form|panel|column|col|row|sticky|fixed|mobile|desktop|policy",
     re.I,
 )
 #: Names that only say whether the page has such a part.
@@ -40,6 +48,14 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 WINDOW = 3
 
 
+def _named(token: str) -> bool:
+    """Whether a class is a part around the article and no word of it says otherwise: side-bar, but not side-effects."""
+    words = re.findall(r"[A-Za-z][a-z]*|\d+", token)
+    if _PARTS.fullmatch(token):
+        return True
+    return any(map(_PARTS.fullmatch, words)) and all(_PARTS.fullmatch(w) or _WITH.fullmatch(w) for w in words)
+
+
 def _around(name: str, attrs: str) -> bool:
     """Whether an element is something around the article, by its name, class, id or role."""
     if name in _AROUND:
@@ -50,19 +66,22 @@ def _around(name: str, attrs: str) -> bool:
         key, value = key.lower(), next((v for v in values if v), "")
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and _NAMED.search(_ABOUT.sub(" ", value)):
+        if key in ("class", "id") and name in _BOXES and any(map(_named, _ABOUT.sub(" ", value).split())):
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines after stripping markup: text, length that counts, and whether inside article or main.
+def lines_of(page: str) -> list[tuple[str, int, bool, tuple]]:
+    """The page's lines after stripping markup: text, length that counts, whether inside article or main, and the
+    numbers of the open elements that group others.
 
     A line is the text of a block. What is in elements around the article leaves no line. Where such an
     element, an article or a main part begins or ends outside of an article, ``WINDOW`` empty lines stand
-    for the markup. The length that counts leaves out the text of links.
+    for the markup. Outside of an article, the length that counts leaves out the text of links.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, tuple]] = []
+    boxes: list[tuple[str, int]] = []
+    path: tuple = ()
     parts: list[str] = []
     linked = 0
     skip: list[str] = []  # open elements from the one that is around the article on
@@ -75,13 +94,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                lines.append((text, max(len(text) - linked, 0), roots > 0))
+                lines.append((text, len(text) if roots else max(len(text) - linked, 0), roots > 0, path))
         linked = 0
 
     def gap() -> None:
         flush()
         if not roots:
-            lines.extend([("", 0, False)] * WINDOW)
+            lines.extend([("", 0, False, ())] * WINDOW)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -129,47 +148,72 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 begun = True
         elif name not in _INLINE:
             flush()
+        if name in _BOXES and not skip:
+            if not m["end"]:
+                boxes.append((name, at))
+            elif any(b == name for b, _ in boxes):
+                while boxes.pop()[0] != name:
+                    pass
+            path = tuple(k for _, k in boxes)
     if at < len(page) and not skip:
         parts.append(page[at:])
     flush()
     return lines
 
 
+def surges(lengths: list[int], least: float) -> list[tuple[int, int]]:
+    """First and past line of the parts of a page whose text lengths, summed over the last ``WINDOW`` lines, leave zero,
+    come to ``least`` somewhere (the surge), and return to zero (the dive)."""
+    parts, start, total, high = [], None, 0, 0
+    for i, n in enumerate([*lengths, *[0] * WINDOW]):
+        total += n - (lengths[i - WINDOW] if i >= WINDOW else 0)
+        if total and start is None:
+            start, high = i, 0
+        high = max(high, total)
+        if not total and start is not None:
+            if high >= least:
+                parts.append((start, i))
+            start = None
+    return parts
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line.
 
-    Text lengths are summed over windows of ``WINDOW`` lines. A part of the page surges where the sum
-    leaves zero and dives where it returns to zero; everything between is kept, short lines too. Of
-    the parts, those in article or main elements count if there are any with text; else the longest
-    one and those with a third of its length.
+    Text lengths are summed over windows of ``WINDOW`` lines, and the parts between surge and dive are kept, short
+    lines and lines of links too. On a page with text in an article or main element only lines in such elements have a
+    length, and any length is a surge, as nothing of an article may go. On other pages a part surges if it comes
+    to a tenth of the largest sum, and of the parts those in the same element as most of the longest one are kept.
     """
     if not page:
         return ""
     lines = lines_of(page)
-    inside = any(root and n for _, n, root in lines)
-    lengths = [n if root or not inside else 0 for _, n, root in lines]
-    sums, total = [], 0
-    for i, n in enumerate(lengths):
-        total += n - (lengths[i - WINDOW] if i >= WINDOW else 0)
-        sums.append(total)
-    parts, start = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i  # surge
-        elif not s and start is not None:
-            parts.append((start, i))  # dive
-            start = None
-    sizes = [sum(lengths[a:b]) for a, b in parts]
-    least = 0 if inside else max(sizes, default=0) / 3
-    kept = [(a, b) for (a, b), size in zip(parts, sizes, strict=True) if size >= least]
-    return "\n".join(t for a, b in kept for t, _, root in lines[a:b] if t and (root or not inside))
+    inside = any(root and n for _, n, root, _ in lines)
+    if inside:
+        parts = surges([n if root else 0 for _, n, root, _ in lines], 1)
+        return "\n".join(t for a, b in parts for t, _, root, _ in lines[a:b] if t and root)
+    lengths = [n for _, n, _, _ in lines]
+    largest = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
+    parts = surges(lengths, max(largest / 10, 1))
+    if not parts:
+        return ""
+    a, b = max(parts, key=lambda p: (sum(lengths[p[0] : p[1]]), -p[0]))
+    weight: dict[int, int] = {}
+    for _, n, _, path in lines[a:b]:
+        for box in path:
+            weight[box] = weight.get(box, 0) + n
+    most = sum(lengths[a:b]) / 2
+    home = max((box for box, n in weight.items() if n > most), default=None)  # the innermost: it begins last
+    kept = [(c, d) for c, d in parts if (c, d) == (a, b) or any(n and (home is None or home in path) for _, n, _, path in lines[c:d])]
+    return "\n".join(t for c, d in kept for t, _, _, path in lines[c:d] if t and ((c, d) == (a, b) or home is None or home in path))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, ``text`` and ``n_chars`` (code points) of every row.
 
     A null or empty page, or one without text, gives an empty text. Unclosed elements, stray angle
-    brackets and cut-off pages are read as far as they go. Other columns are ignored.
+    brackets and cut-off pages are read as far as they go. Pages of any length count whole; repeated rows and null ids are
+    rows like others; other columns are ignored; no pages give no rows.
     """
 
     def run(batches):

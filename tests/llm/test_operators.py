@@ -571,12 +571,59 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<div class='page has-sidebar'><div class='sidebar'>left open<article class='post'><p>kept</p></article></div>", "kept"),
         ("<article><p>text</p></article><ol class='comment-list'><li><article class='comment'><p>said</p></article></li></ol>", "text"),
         ("<article><p>1 < 2 and 3 > 2</p><pre>a\n  b</pre>", "1 < 2 and 3 > 2\na b"),
+        ("<article><h1><a href=x>Linked title</a></h1><p>text</p><ul><li><a>a</a></li><li><a>b</a></li><li><a>c</a></li><li><a>d</a></li><li><a>e</a></li></ul></article>", "Linked title\ntext\na\nb\nc\nd\ne"),
+        ("<article><p><a>all of it is a link</a></p></article>", "all of it is a link"),
+        ("<article><p>one <span class='alert-word'>two</span></p><p class='side-effects'>three</p><div class='note notice-period'>four</div></article>", "one two\nthree\nfour"),
+        ("<article><p>a</p><div class='cookie-notice'>x</div><div id='ad-slot-3'>x</div><div class='sideBar'>x</div><p>b</p></article>", "a\nb"),
+        ("<div id='c'><p>A first paragraph of the text.</p><div class='ad'>Buy now</div><p>Short one.</p><div class='ad'>Buy</div><p>The last and longest paragraph of the text, which goes on.</p></div>",
+         "A first paragraph of the text.\nShort one.\nThe last and longest paragraph of the text, which goes on."),
     ],
 )
 def test_main_text(body, want):
     assert html.main_text(PAGE % body) == want
 
 
+def test_windows_decide_without_an_article_element():
+    """Surge and dive against sums by hand; a part below a tenth of the largest sum goes."""
+    r = random.Random(17)
+    for _ in range(300):
+        lengths = [r.choice([0, 0, 0, 3, 40]) for _ in range(r.randrange(0, 30))]
+        least = r.choice([1, 5, 41])
+        sums = [sum(lengths[max(i - html.WINDOW + 1, 0) : i + 1]) for i in range(len(lengths))] + [sum(lengths[max(i - html.WINDOW + 1, 0) :]) for i in range(len(lengths), len(lengths) + html.WINDOW)]
+        runs, i = [], 0
+        while i < len(sums):
+            j = i
+            while j < len(sums) and sums[j]:
+                j += 1
+            if j > i and max(sums[i:j]) >= least:
+                runs.append((i, j))
+            i = max(j, i + 1)
+        assert html.surges(lengths, least) == runs
+    body = "<p>%s</p>" % ("a long paragraph of the page " * 20)
+    page = "<body><div><p>tiny</p></div>%s<div>%s</div></body>" % ("<hr>" + "<div class='ad'>x</div>" * 2, body)
+    assert html.main_text(page) == ("a long paragraph of the page " * 20).strip()
+
+
+def test_articles_against_a_plain_reader():
+    """Pages built from known blocks: all of the article and nothing else."""
+    r = random.Random(18)
+    word = lambda: r.choice(["lorem", "ipsum", "&amp;", "d&eacute;j&agrave;", "1&lt;2", "sit", "x"])
+    import html as codes
+
+    for _ in range(200):
+        blocks, want = [], []
+        for _ in range(r.randrange(1, 12)):
+            words_ = [word() for _ in range(r.randrange(1, 30))]
+            text = " ".join(words_)
+            tag = r.choice(["p", "h2", "li", "blockquote", "pre", "td"])
+            shown = r.choice([text, f"<a href='#'>{text}</a>", f"<b>{words_[0]}</b>" + "".join(f"{r.choice([' ', '  ', chr(10)])}{w}" for w in words_[1:])])
+            blocks.append({"li": f"<ul><li>{shown}</li></ul>", "td": f"<table><tr><td>{shown}</td></tr></table>"}.get(tag, f"<{tag}>{shown}</{tag}>"))
+            want.append(codes.unescape(text))
+            if r.random() < 0.3:
+                blocks.append(r.choice(["<div class='ad'>Buy <b>this</b> now</div>", "<!-- <p>no</p> -->", "<script>if (a < b) document.write('<p>x</p>')</script>", "<form><p>Name</p></form>", "<aside><p>Side</p></aside>"]))
+        assert html.main_text(PAGE % f"<article>{''.join(blocks)}</article>") == "\n".join(want)
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE % "<article><p>é</p></article>", 5), (2, None, None, 1), (None, "u", "", 2), (4, "u", "plain", 3), (4, "u", "<article>" + "<p>word word</p>" * 20000, 3)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
