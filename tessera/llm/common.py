@@ -122,6 +122,12 @@ def keyed(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit:
     return df.join(F.broadcast(ids) if small else ids, key, how)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name that starts so and that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (f"{name}{i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def by_value(module_name: str) -> None:
     """Send a module's functions to Python workers by value: workers need not have the library installed."""
     import sys
