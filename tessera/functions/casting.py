@@ -123,7 +123,7 @@ def cast(df: DataFrame | None, value: Any, target: Any, hint: Any = None) -> Any
 
 
 def cast_df(df: DataFrame, schema: Any, hints: Any = None) -> DataFrame:
-    """``df`` projected on the schema's names, each column cast. ``hints`` is a schema taken by position."""
+    """``df`` projected on the schema's names, each column cast. ``hints`` is a schema of as many fields, taken by position."""
     fields = to_spark_schema(schema).fields
     read = [f.dataType for f in to_spark_schema(hints).fields] if hints is not None else [None] * len(fields)
-    return df.select(*[cast_column(df, df[f"`{f.name}`"], f.dataType, h).alias(f.name) for f, h in zip(fields, read, strict=False)])
+    return df.select(*[cast_column(df, df[f"`{f.name}`"], f.dataType, h).alias(f.name) for f, h in zip(fields, read, strict=True)])

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tessera.functions.types import ensure_compatible, to_spark_schema
+from tessera.functions.values import clean
 
 
 def sql_groupby_apply(df: DataFrame, cols: list[str], func: Callable[[pd.DataFrame], pd.DataFrame], schema: Any) -> DataFrame:
-    """``func`` of every group's rows, with all columns and a fresh index. NULL keys form groups.
+    """``func`` of every group's rows, with all columns and a fresh index. NULL keys, and NaN, form one group.
 
     No columns: one call with all rows, so on one executor. An integer column with NULLs arrives as float. An
     empty frame gives no rows and no call. This is the only operator that runs Python on the executors.
@@ -21,4 +22,4 @@ def sql_groupby_apply(df: DataFrame, cols: list[str], func: Callable[[pd.DataFra
         raise ValueError("the result's schema is required")
     ensure_compatible(df)
     run = lambda pdf: func(pdf.reset_index(drop=True))
-    return df.groupBy(*cols).applyInPandas(run, to_spark_schema(schema))
+    return clean(df).groupBy(*cols).applyInPandas(run, to_spark_schema(schema))

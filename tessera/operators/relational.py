@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +19,36 @@ _JOINS = {
 
 
 def filter_df(df: DataFrame, condition: Any) -> DataFrame:
-    """Rows where the condition is true; a constant keeps all or none. Filters reach the scan."""
+    """Rows where the condition is true; a constant keeps all or none, one that is no condition raises. Filters reach the scan."""
     if not is_column(condition):
+        truthy(df, condition)
         return df if not is_missing(condition) and bool(condition) else df.where(F.lit(False))
     return df.where(truthy(df, condition))
 
 
 def cols_to_df(df: DataFrame, cols: list, names: list[str] | None = None) -> DataFrame:
-    """A frame of columns of ``df`` and constants; at least one must be a column."""
+    """A frame of columns of ``df`` and constants; at least one must be a column, and none of another frame."""
     if not any(is_column(c) for c in cols):
         raise InvalidOperationError("at least one must be a column")
     made = [as_column(c) for c in cols]
     if names is not None:
         made = [c.alias(n) for c, n in zip(made, names, strict=True)]
-    return df.select(*made)
+    try:
+        return df.select(*made)
+    except AnalysisException as e:
+        raise InvalidOperationError(f"a column that the frame doesn't have: {e}") from e
+
+
+def series_to_df(*series: DataFrame) -> DataFrame:
+    """A frame of series (``to_series``) by position, in their order; a shorter one has NULLs at its end."""
+    if not series:
+        raise InvalidOperationError("at least one must be a series")
+    if any(len(s.columns) != 2 or s.columns[0] != "position" for s in series):
+        raise InvalidOperationError("a series has a position and a value")
+    out = series[0]
+    for s in series[1:]:
+        out = out.join(s, "position", "full")
+    return out.drop("position")
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

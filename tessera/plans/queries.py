@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import casting as k
 from tessera.functions import expressions as e
+from tessera.functions import types as t_
 from tessera.functions.patterns import like
+from tessera.functions.values import constant, is_column
 from tessera.operators import grouped
 from tessera.operators import relational as r
+from tessera.sources import outputs as out
 from tessera.sources.outputs import tables
+from tessera.testing import assert_duck_eq, assert_frame_eq, make_rand_df
 
 col = F.col
 
@@ -72,7 +76,7 @@ def _wide(spark, d: str, **cols) -> DataFrame:
 )
 def flagship(spark, d):
     """Filter, join and CASE end to end: both filters reach the scans."""
-    li, o = tables(spark, d, "lineitem", "orders")
+    li, o = out.table(spark, d, "lineitem", col("l_quantity") > 5), out.table(spark, d, "orders")
     o = r.filter_df(o, e.is_in(col("o_orderpriority"), ["1-URGENT", "2-HIGH"])).select(col("o_orderkey").alias("k"))
     li = r.filter_df(li, e.compare(col("l_quantity"), 5, ">")).select(col("l_orderkey").alias("k"), col("l_linenumber").alias("ln"), "l_quantity")
     both = r.join(li, o, "inner", ["k"])
@@ -257,6 +261,136 @@ def group_apply(spark, d):
     return grouped.sql_groupby_apply(lines(spark, d).select("k", "ln", "s"), ["s"], size, "k:long,ln:long,s:str,n:long")
 
 
+def _with_nan(spark, d: str) -> DataFrame:
+    """``L`` with NaN in place of some values, as a source would bring them in."""
+    nan = lambda c, when: F.when(when, F.lit(float("nan"))).otherwise(col(c)).alias(c)
+    raw = lines(spark, d).select("k", "ln", nan("a", col("ln") == 2), nan("b", col("k") % 3 == 0), "c")
+    return out.clean(raw)
+
+
+_N = _L[:-1] + """, n AS (SELECT k, ln, CASE WHEN ln <> 2 THEN a END AS a, CASE WHEN k % 3 <> 0 THEN b END AS b, c FROM l) """
+
+
+@query(_N + "SELECT k, ln, a > 5 AS v1, a = b AS v2, a IN (b, 1e0) AS v3, a BETWEEN b AND 30e0 AS v4, a IS NULL AS v5, coalesce(a, b, -1e0) AS v6, CASE WHEN a > 5 THEN a ELSE b END AS v7 FROM n")
+def nan_is_null(spark, d):
+    df, a, b = _with_nan(spark, d), col("a"), col("b")
+    v = [e.compare(a, 5, ">"), e.compare(a, b, "=="), e.is_in(a, [b, 1.0]), e.is_between(a, b, 30.0), e.is_value(df, a, None), e.coalesce(a, b, -1.0)]
+    v.append(e.case_when(df, (e.compare(a, 5, ">"), a), default=b))
+    return df.select("k", "ln", *[x.alias(f"v{i}") for i, x in enumerate(v, 1)])
+
+
+@query(_N + "SELECT k, ln, a FROM n WHERE a > 5")
+def nan_filter(spark, d):
+    return r.filter_df(_with_nan(spark, d), e.compare(col("a"), 5, ">")).select("k", "ln", "a")
+
+
+@query(_N + "SELECT x.k AS k, x.a AS a, x.ln AS ln_x, y.ln AS ln_y FROM n x JOIN n y ON x.k = y.k AND x.a = y.a")
+def nan_join(spark, d):
+    df = _with_nan(spark, d).select("k", "a", "ln")
+    return r.join(df, df, "inner", ["k", "a"])
+
+
+@query(_N + "SELECT b, count(*) AS n FROM n GROUP BY b")
+def nan_group_apply(spark, d):
+    def size(g: pd.DataFrame) -> pd.DataFrame:
+        return g.head(1).assign(n=len(g))[["b", "n"]]
+
+    return grouped.sql_groupby_apply(_with_nan(spark, d).select("b"), ["b"], size, "b:double,n:long")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, 2.5e0 AS x, TRUE AS y, CAST(NULL AS BIGINT) AS z FROM nation")
+def constant_columns(spark, d):
+    """to_constant_series and cols_to_df: constants of a type beside columns."""
+    (n,) = tables(spark, d, "nation")
+    cols = [col("n_nationkey").cast("bigint"), col("n_name"), constant(2.5), constant(True), constant(None, int)]
+    return r.cols_to_df(n, cols, ["k", "name", "x", "y", "z"])
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_nationkey AS BIGINT) AS n FROM supplier")
+def series_by_position(spark, d):
+    """to_series and series_to_array: columns to local arrays, and back to one frame by position."""
+    (s,) = tables(spark, d, "supplier")
+    s = s.select(col("s_suppkey").cast("bigint").alias("k"), col("s_nationkey").cast("bigint").alias("n")).orderBy("k")
+    return r.series_to_df(out.to_series(spark, out.series_to_array(s, "k"), "k", int), out.to_series(spark, out.series_to_array(s, "n"), "n", int))
+
+
+@query("SELECT * FROM (VALUES ('a', FALSE), ('column', TRUE)) AS v(value, is_series)")
+def is_series(spark, d):
+    return spark.createDataFrame([("a", is_column("a")), ("column", is_column(col("a")))], "value string, is_series boolean")
+
+
+_ROUND = "SELECT CAST(s_suppkey AS BIGINT) AS k, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_acctbal AS DOUBLE) END AS x, s_suppkey % 2 = 0 AS even FROM supplier"
+
+
+def _round(spark, d: str) -> DataFrame:
+    (s,) = tables(spark, d, "supplier")
+    return s.select(
+        col("s_suppkey").cast("bigint").alias("k"), col("s_name").alias("name"),
+        F.when(col("s_suppkey") % 3 != 0, col("s_acctbal").cast("double")).alias("x"), (col("s_suppkey") % 2 == 0).alias("even"),
+    )
+
+
+@query(_ROUND)
+def pandas_round_trip(spark, d):
+    """as_pandas, and local pandas data as a frame."""
+    return out.read_local(spark, out.as_pandas(_round(spark, d)))
+
+
+@query(_ROUND)
+def arrow_round_trip(spark, d):
+    """to_schema and as_arrow of exactly these types, and an Arrow table as a frame."""
+    df = _round(spark, d)
+    return out.read_local(spark, out.as_arrow(df, t_.schema_of(df)))
+
+
+@query(_ROUND)
+def array_round_trip(spark, d):
+    """as_array with type checks, and rows as a frame of a schema."""
+    df = _round(spark, d)
+    return out.read_local(spark, out.as_array(df, df.schema, type_safe=True), df.schema)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(n_regionkey AS BIGINT) AS r1, CAST(n_regionkey + 1 AS BIGINT) AS r2 FROM nation")
+def nested_arrays(spark, d):
+    """as_array_iterable with nested columns out of JSON text."""
+    (n,) = tables(spark, d, "nation")
+    key = col("n_regionkey").cast("int")
+    text = F.to_json(F.struct(col("n_name").alias("name"), F.array(key, key + 1).alias("r")))
+    df = n.select(col("n_nationkey").cast("bigint").alias("k"), text.alias("j"))
+    schema = t_.T.StructType([t_.T.StructField("k", t_.T.LongType()), t_.T.StructField("j", t_.T._parse_datatype_string("struct<name:string,r:array<bigint>>"))])
+    rows = [(k, j["name"], *j["r"]) for k, j in out.as_array_iterable(df, schema, type_safe=True)]
+    return spark.createDataFrame(rows, "k bigint, name string, r1 bigint, r2 bigint")
+
+
+@query("SELECT count(*) = 0 AS all_empty, TRUE AS none_empty FROM lineitem")
+def is_empty(spark, d):
+    li = lines(spark, d)
+    return spark.createDataFrame([(out.empty(li), out.empty(li.where("k is null")))], "all_empty boolean, none_empty boolean")
+
+
+@query(
+    "SELECT * FROM (VALUES ('k', 'int64', 'bigint'), ('name', 'string', 'string'), ('x', 'double', 'double'), ('even', 'bool', 'boolean')) AS v(name, arrow, spark)"
+)
+def schemas(spark, d):
+    """to_schema, the types of columns and of the library's names, and the checks that a frame is compatible."""
+    df = _round(spark, d)
+    t_.ensure_compatible(df)
+    assert t_.is_compatible_index(df)
+    kinds = {f.name: str(f.type) for f in t_.schema_of(df)}
+    assert all(str(t_.arrow_type(df, col(n))) == k for n, k in kinds.items())
+    rows = [(n, k, t_.to_spark_type("str" if k == "string" else k).simpleString()) for n, k in kinds.items()]
+    return spark.createDataFrame(rows, "name string, arrow string, spark string")
+
+
+@query("SELECT CAST(500 AS BIGINT) AS n, CAST(40 AS BIGINT) AS nulls, TRUE AS equal")
+def random_frames(spark, d):
+    """make_rand_df with exact NULL counts, and the comparisons with frames and DuckDB."""
+    a, b = (make_rand_df(spark, 500, seed=3, i=("int", 40), s="str", f="float", t="datetime") for _ in range(2))
+    assert_frame_eq(a, b, digits=6, check_types=True)
+    assert_duck_eq(a.groupBy("s").agg(F.count("*").alias("n")), "SELECT s, count(*) AS n FROM t GROUP BY s", t=a)
+    return a.agg(F.count("*").alias("n"), F.count(F.when(col("i").isNull(), 1)).alias("nulls")).withColumn("equal", F.lit(True))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -120,23 +120,51 @@ def _plain(value: Any) -> Any:
     return None if is_missing(value) else value
 
 
-def as_array_iterable(df: DataFrame, schema: Any = None, columns: list[str] | None = None) -> Iterator[list]:
-    """Rows as lists, a partition at a time."""
+def as_array_iterable(df: DataFrame, schema: Any = None, columns: list[str] | None = None, type_safe: bool = False) -> Iterator[list]:
+    """Rows as lists, a partition at a time. ``type_safe``: of the schema's types (the frame's own, without one), and a
+    value that isn't raises ``CastError``; else integers and floats stand for each other as they come."""
     ensure_compatible(df)
     rows = shaped(df, schema, columns) if schema is not None else df.select(*(columns or df.columns))
+    kinds = [f.dataType for f in rows.schema]
     with cast_errors():
         for row in rows.toLocalIterator():
-            yield [_plain(v) for v in row]
+            yield [_checked(_plain(v), k) if type_safe else _plain(v) for v, k in zip(row, kinds, strict=True)]
 
 
-def as_array(df: DataFrame, schema: Any = None, columns: list[str] | None = None) -> list[list]:
-    return list(as_array_iterable(df, schema, columns))
+def _checked(value: Any, kind: T.DataType) -> Any:
+    """The value if it is of the type's Python class; bytes for binary, whatever the client holds them in."""
+    if value is None:
+        return None
+    if isinstance(kind, T.BinaryType):
+        return bytes(value)
+    if isinstance(kind, T.ArrayType):
+        return [_checked(v, kind.elementType) for v in value]
+    if isinstance(kind, T.StructType):
+        return {f.name: _checked(value[f.name], f.dataType) for f in kind}
+    wanted = {T.BooleanType: bool, T.StringType: str, T.FloatType: float, T.DoubleType: float}.get(type(kind), int if isinstance(kind, T.IntegralType) else None)
+    if wanted and type(value) is not wanted:
+        raise CastError(f"{value!r} is no {kind.simpleString()}")
+    return value
+
+
+def as_array(df: DataFrame, schema: Any = None, columns: list[str] | None = None, type_safe: bool = False) -> list[list]:
+    return list(as_array_iterable(df, schema, columns, type_safe))
 
 
 def empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def table(spark: SparkSession, folder: str, name: str, likely: Column | None = None) -> DataFrame:
+    """The Parquet table ``folder/name.parquet``; NaN becomes NULL.
+
+    A comparison of a float column that may be NaN doesn't reach the scan. ``likely`` does: it is a condition on the columns
+    as they are stored, true for every row that is wanted (NaN counts as the greatest number there).
+    """
+    raw = spark.read.parquet(f"{folder}/{name}.parquet")
+    return clean(raw if likely is None else raw.where(likely))
+
+
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
-    """Parquet tables ``folder/name.parquet``."""
-    return [spark.read.parquet(f"{folder}/{n}.parquet") for n in names]
+    """Parquet tables ``folder/name.parquet``; see ``table``."""
+    return [table(spark, folder, n) for n in names]

@@ -6,9 +6,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import testing
 from tessera.errors import InvalidOperationError
 from tessera.functions.expressions import compare
 from tessera.operators.grouped import sql_groupby_apply
+from tessera.operators import grouped
+from tessera.operators import relational as r
 from tessera.operators.relational import cols_to_df, drop_duplicates, except_df, filter_df, intersect, join, parse_join_type, union
 from tessera.sources.outputs import as_array, as_arrow, as_pandas, empty, read_local, series_to_array, to_series
 from tessera.testing import assert_duck_eq, assert_rows, make_rand_df
@@ -129,3 +132,71 @@ def test_expressions_on_a_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("kept").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert_rows(spark.table("kept"), [(1, 5.0)])
+
+
+def test_constants_that_are_no_conditions(spark):
+
+    df = spark.range(3)
+    assert r.filter_df(df, 1).count() == 3 and r.filter_df(df, 0).count() == r.filter_df(df, None).count() == 0
+    with pytest.raises(InvalidOperationError):
+        r.filter_df(df, "false")
+    with pytest.raises(InvalidOperationError):
+        r.filter_df(df, F.lit("x"))
+
+
+def test_series_and_foreign_columns(spark):
+    from tessera.sources import outputs as out
+
+    a, b = out.to_series(spark, [1, None, 3], "a", int), out.to_series(spark, ["x", "y"], "b")
+    assert_rows(r.series_to_df(a, b), [(1, "x"), (None, "y"), (3, None)], ["a", "b"])
+    with pytest.raises(InvalidOperationError):
+        r.cols_to_df(spark.range(1), [F.col("other")])
+    with pytest.raises(InvalidOperationError):
+        r.series_to_df(spark.range(1))
+
+
+def test_hints_of_another_length(spark):
+    from tessera.functions.casting import cast_df
+
+    df = spark.createDataFrame([("1", "2")], "a string, b string")
+    with pytest.raises(ValueError):
+        cast_df(df, "a:int,b:int", "a:str")
+
+
+def test_type_safe_arrays(spark):
+    from tessera.sources import outputs as out
+
+    rows = [[1, b"\x00\xff", 1.5, True, ["a", None]], [None, None, None, None, None]]
+    df = spark.createDataFrame([tuple(x) for x in rows], "a bigint, b binary, c double, d boolean, e array<string>")
+    assert out.as_array(df, type_safe=True) == rows
+    assert out.as_array(out.read_local(spark, out.as_arrow(df)), type_safe=True) == rows
+
+
+def test_groups_of_special_types(spark):
+    import datetime as dt
+
+    rows = [(dt.datetime(2021, 5, 1), b"x", None), (dt.datetime(2021, 5, 1), b"y", float("nan")), (None, b"z", 1.0)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, b binary, x double")
+    got = grouped.sql_groupby_apply(df, ["t"], lambda g: g.head(1).assign(n=len(g))[["t", "n"]], "t:datetime,n:long")
+    assert_rows(got, [(dt.datetime(2021, 5, 1), 2), (None, 1)])
+    got = grouped.sql_groupby_apply(df, ["x"], lambda g: g.head(1).assign(n=len(g))[["x", "n"]], "x:double,n:long")
+    assert_rows(got, [(None, 2), (1.0, 1)])
+
+
+def test_frame_comparison(spark):
+    a = spark.createDataFrame([(1, 0.12344), (2, None)], "a int, b double")
+    b = spark.createDataFrame([(0.12341, 1), (float("nan"), 2)], "b double, a int")
+    testing.assert_frame_eq(a, b, digits=4, check_columns=False, check_order=True, check_types=True)
+    for wrong in ({"digits": 5}, {"check_columns": True}):
+        with pytest.raises(AssertionError):
+            testing.assert_frame_eq(a, b, **{"digits": 4, "check_columns": False, **wrong})
+
+
+def test_scan_of_likely_rows(spark, tmp_path):
+    from tessera.sources import outputs as out
+
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1.0,), (7.0,), (float("nan"),)], "x double").write.parquet(path)
+    got = r.filter_df(out.table(spark, str(tmp_path), "t", F.col("x") > 5), F.col("x") > 5)
+    assert_rows(got, [(7.0,)])
+    assert "GreaterThan(x,5.0)" in got._jdf.queryExecution().toString()
