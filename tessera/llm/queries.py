@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.OP3_SQL, "op6_license_scan": licenses.oracle()}
+    return {"op3_source_mixing": mixing.OP3_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op6_license_scan": licenses.oracle()}
