@@ -97,21 +97,22 @@ def test_banded_distance_and_segments(spark, errors):
     r = random.Random(errors)
     pairs = []
     for _ in range(300):
-        a = "".join(r.choice("abé") for _ in range(r.randrange(0, 40)))
+        a = "".join(r.choice("abé  中") for _ in range(r.randrange(0, 40)))
         b = list(a)
         for _ in range(r.randrange(0, errors + 3)):
             at = r.randrange(len(b) + 1)
             if r.random() < 0.5:
-                b.insert(at, r.choice("abé"))
+                b.insert(at, r.choice("abé 中"))
             elif b:
                 b.pop(min(at, len(b) - 1))
         pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string")
     keys = lambda c: F.array_compact(F.transform(lines.segment_probes(errors), lambda p: lines.segment_key(F.col(c), p, errors)))
     share = F.arrays_overlap(keys("a"), keys("b"))
-    for x in df.select("a", "b", lines.within_edits(F.col("a"), F.col("b"), errors).alias("near"), share.alias("share")).collect():
+    may = lines._may_be_within_edits(lines._about(F.col("a")), lines._about(F.col("b")), errors)
+    for x in df.select("a", "b", lines.within_edits(F.col("a"), F.col("b"), errors).alias("near"), share.alias("share"), may.alias("may")).collect():
         near = edits(x.a, x.b) <= errors
-        assert x.near == near and (x.share or not near)
+        assert x.near == near and (x.share and x.may or not near)
 
 
 def test_line_classes_against_brute_force(spark):
@@ -176,10 +177,11 @@ def test_lines_with_changed_words(spark):
     for x in lines.word_keys(df.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("line")), 5).collect():
         keys[x.node].add(x.key)
     linked = 0
-    for x in df.select("a", "b", lines.within_words(F.col("a"), F.col("b"), 5).alias("near")).collect():
+    may = lines._may_be_within_words(lines._about(F.col("a")), lines._about(F.col("b")), 5)
+    for x in df.select("a", "b", lines.within_words(F.col("a"), F.col("b"), 5).alias("near"), may.alias("may")).collect():
         a, b = x.a.split(), x.b.split()
         near = edits(a, b) <= min(len(a), len(b)) // 20 and min(len(a), len(b)) >= 20
-        assert x.near == near and (keys[x.a] & keys[x.b] or not near)
+        assert x.near == near and (x.may and keys[x.a] & keys[x.b] or not near)
         linked += near
     assert linked > 40
     long = [f"word{k}" for k in range(83)]
