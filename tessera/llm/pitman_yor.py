@@ -9,6 +9,8 @@ unknown word.
 from __future__ import annotations
 
 import pickle
+from functools import reduce
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,14 @@ by_value(__name__)
 PARENTS = 32
 END = b""
 STRENGTH = 1.0
+#: Customers whose dishes are seated at once; a dish of more is a group of its own.
+GROUP = 1 << 22
+#: So few dishes are seated one at a time.
+FEW_DISHES = 24
+#: Bytes of text to a bucket of words.
+BUCKET_BYTES = 8 << 20
+#: Parts of the buckets, and of the batches, that are dealt out one after the other, as a shuffle is as large as what it deals.
+_PARTS = 8
 _SCHEMA = "kind int, batch bigint, bucket int, body binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
 
@@ -179,28 +189,45 @@ class Seating:
     """All seats of one bucket's words: tables by context and word, by parent and word, and by word."""
 
     def __init__(self, words, word, context, count, bits: int) -> None:
-        self.words, self.word, self.context, self.bits = words, word, context, bits
-        self.inner = bits - PARENTS.bit_length() + 1
-        self.groups, self.group = np.unique(word * PARENTS + (context >> self.inner), return_inverse=True)
+        self._index(words, word, context, bits)
         self.pairs = Tables(count)
         self.mid = Tables(np.bincount(self.group, minlength=len(self.groups)))
         self.top = Tables(np.bincount(self.groups // PARENTS, minlength=len(words)))
         self.samples: list[tuple] = []
 
-    def state(self) -> dict:
-        """All of it as arrays: workers that don't have the library can't name its classes."""
-        slim = lambda x: {k: slim(vars(v)) if isinstance(v, Tables) else _small(v) if isinstance(v, np.ndarray) else v for k, v in x.items()}
-        return slim(vars(self))
+    def _index(self, words, word, context, bits: int) -> None:
+        """Numbers of the pairs, which are in the order of words and contexts, and of their parents' pairs."""
+        self.words, self.word, self.context, self.bits = words, word, context, bits
+        self.inner = bits - PARENTS.bit_length() + 1
+        keys = word * PARENTS + (context >> self.inner)
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        self.groups, self.group = keys[new], np.cumsum(new) - 1
+
+    def state(self, seats: bool = True) -> dict:
+        """What the rest follows from, as arrays: workers that don't have the library can't name its classes. Without ``seats``
+        only what ``answer`` needs."""
+        per_word = np.bincount(self.word, minlength=len(self.words))
+        body = {"words": self.words, "per_word": _small(per_word), "context": _small(self.context), "n": _small(self.pairs.n)}
+        if seats:
+            for name in ("pairs", "mid", "top"):
+                tables = getattr(self, name)
+                body[name] = _small(np.bincount(tables.dish, minlength=len(tables.n))[tables.n > 1]), _small(tables.size)
+        return body | {"samples": self.samples, "bits": self.bits}
 
     @classmethod
     def of(cls, state: dict) -> Seating:
-        wide = lambda x: {k: v.astype(np.int64) if isinstance(v, np.ndarray) and v.dtype == np.int32 else v for k, v in x.items()}
         s = cls.__new__(cls)
-        s.__dict__.update(wide(state))
-        for name in ("pairs", "mid", "top"):
-            tables = Tables.__new__(Tables)
-            tables.__dict__.update(wide(state[name]))
-            setattr(s, name, tables)
+        wide = {k: state[k].astype(np.int64) for k in ("per_word", "context", "n")}
+        s._index(state["words"], np.repeat(np.arange(len(state["words"])), wide["per_word"]), wide["context"], state["bits"])
+        n, s.samples = wide["n"], state["samples"]
+        s.pairs = Tables(n)
+        if "pairs" in state:
+            for name, below in (("pairs", None), ("mid", s.group), ("top", s.groups // PARENTS)):
+                tables = Tables(n if below is None else np.bincount(below, count, int(below[-1]) + 1 if len(below) else 0))
+                times, size = state[name]
+                tables.dish, tables.size = np.repeat(tables.dish, times), size.astype(np.int64)
+                count = tables.count()
+                setattr(s, name, tables)
         return s
 
     def totals(self) -> np.ndarray:
@@ -251,19 +278,107 @@ def _settle(tables: Tables, wanted: np.ndarray, weight, discount: float, random)
     tables.tidy()
 
 
-def _resit(tables: Tables, weight, discount: float, moves: int, random) -> None:
-    """Random-scan Gibbs steps: up to ``moves`` customers of each dish leave, one by one, and take a seat given all others."""
-    for j in range(moves):
-        who = np.flatnonzero(tables.n > max(j, 1))
-        if not len(who):
-            break
-        tables.remove(who, random)
-        tables.add(who, discount, lambda own, who=who: weight(who, own), random)
-    tables.tidy()
-
+def _resit(tables: Tables, weight, discount: float, moves: int | None, random) -> None:
+    """Gibbs steps: the customers of each dish (or ``moves`` of them) leave in random order, one by one, and take a seat given
+    all others.
 
-def sweep(s: Seating, t: Totals, d: tuple, random, moves: int = 4) -> None:
-    """Gibbs steps over the bucket: contexts first, then their parents, whose customers are the tables below.
+    Step j moves one customer of every dish that has so many; the last few dishes, of most customers, go on one at a time.
+    A customer who stays at the old tables sits down with another at random, who lets him by (s - discount) / s at a
+    table of s, so a step costs the same whatever the number of tables. Dishes are taken in groups of ``GROUP`` customers.
+    """
+    who = np.flatnonzero(tables.n > 1)
+    who = who[np.argsort(-tables.n[who], kind="stable")]
+    dishes, sizes = [], []
+    group = np.cumsum(tables.n[who]) // GROUP
+    for some in np.split(who, np.flatnonzero(np.diff(group)) + 1):
+        dish, size = _resit_some(tables, some, weight, discount, moves, random)
+        dishes.append(dish)
+        sizes.append(size)
+    dish = np.concatenate(dishes)
+    order = np.argsort(dish, kind="stable")
+    tables.dish, tables.size = dish[order], np.concatenate(sizes)[order]
+
+
+def _resit_some(tables: Tables, who: np.ndarray, weight, discount: float, moves: int | None, random) -> tuple[np.ndarray, np.ndarray]:
+    """The tables, by dish, of the dishes ``who`` after ``_resit``; these are in the order of falling customers."""
+    n = tables.n[who]
+    last = n if moves is None else np.minimum(n, moves)
+    first = np.searchsorted(tables.dish, who)
+    t = np.searchsorted(tables.dish, who, side="right") - first
+    ends = np.cumsum(t)
+    old = tables.size[np.repeat(first - ends + t, t) + np.arange(t.sum())]
+    start = np.cumsum(n) - n
+    # the table of each customer; a table that customer c opens has the number old tables + c
+    seat, size = np.repeat(np.arange(len(old), dtype=np.int32), old), np.concatenate([old, np.zeros(n.sum(), np.int64)]).astype(np.int32)
+    table_of = np.concatenate([np.repeat(who, t), np.repeat(who, n)])
+    plain = weight(who, np.zeros(len(who)))
+    by_table = weight(who, np.ones(len(who))) - plain  # the weight of a new table grows evenly
+    others = n - 1.0
+    j = 0
+    while (m := int(np.searchsorted(-last, -j))) > FEW_DISHES:
+        c, own, many, tm = start[:m] + j, others[:m], n[:m], t[:m]
+        u = random.random((4, m))
+        leaver = c + (u[0] * (many - j)).astype(np.int64)
+        k = seat[leaver]
+        seat[leaver] = seat[c]
+        left = size[k] - 1
+        size[k] = left
+        tm -= left == 0
+        w = plain[:m] + by_table[:m] * tm
+        new = u[1] * (own - discount * tm + w) < w
+        host = (u[2] * own).astype(np.int64)
+        host += host >= j
+        k = seat[start[:m] + host]
+        x = size[k]
+        again = np.flatnonzero(~new & (u[3] * x >= x - discount))
+        while len(again):
+            v = random.random((2, len(again)))
+            host = (v[0] * own[again]).astype(np.int64)
+            host += host >= j
+            k[again] = seat[start[again] + host]
+            x = size[k[again]]
+            again = again[v[1] * x >= x - discount]
+        k[new] = len(old) + c[new]
+        size[k] += 1
+        seat[c] = k
+        tm += new
+        j += 1
+    seats, sized, draw = seat.data, size.data, Random(int(random.integers(1 << 62))).random
+    for i in range(m):
+        _resit_one(seats, sized, int(start[i]), int(n[i]), j, int(last[i]), int(t[i]), len(old), float(plain[i]), float(by_table[i]), discount, draw)
+    alive = np.flatnonzero(size)
+    return table_of[alive], size[alive].astype(np.int64)
+
+
+def _resit_one(seat, size, start: int, n: int, j: int, last: int, t: int, old: int, plain: float, by_table: float, discount: float, draw) -> None:
+    """The steps of ``_resit_some`` for a single dish from its customer ``j`` on."""
+    others = n - 1
+    for at in range(j, last):
+        c = start + at
+        leaver = c + int(draw() * (n - at))
+        k = seat[leaver]
+        seat[leaver] = seat[c]
+        size[k] = left = size[k] - 1
+        if not left:
+            t -= 1
+        w = plain + by_table * t
+        if draw() * (others - discount * t + w) < w:
+            k, x = old + c, 0
+            t += 1
+        else:
+            while True:
+                host = int(draw() * others)
+                k = seat[start + host + (host >= at)]
+                x = size[k]
+                if draw() * x < x - discount:
+                    break
+        size[k] = x + 1
+        seat[c] = k
+
+
+def sweep(s: Seating, t: Totals, d: tuple, random) -> None:
+    """Gibbs steps over the bucket, one for every customer: contexts first, then their parents, whose customers are the tables
+    below.
 
     Tables of other dishes are those of the sums ``t`` after the last sweep; a dish's own are up to date.
     """
@@ -271,13 +386,13 @@ def sweep(s: Seating, t: Totals, d: tuple, random, moves: int = 4) -> None:
     p0, p1, _ = _levels(s, t, d, s.pairs.n, b2, s.mid.n, b1, s.top.n, b0)
     of = s.groups % PARENTS
     weigh = lambda others, discount, parent: lambda who, own: (STRENGTH + discount * (others[who] + own)) * parent[who]
-    _resit(s.pairs, weigh(t.t2[s.context] - b2, d[2], p1[s.group]), d[2], moves, random)
+    _resit(s.pairs, weigh(t.t2[s.context] - b2, d[2], p1[s.group]), d[2], None, random)
     middle = weigh(t.t1[of] - b1, d[1], p0[s.groups // PARENTS])
     _settle(s.mid, np.bincount(s.group, s.pairs.count(), len(s.groups)).astype(np.int64), middle, d[1], random)
-    _resit(s.mid, middle, d[1], moves, random)
+    _resit(s.mid, middle, d[1], None, random)
     top = weigh(t.t0 - b0, d[0], np.full(len(s.words), 1 / (t.distinct + 1)))
     _settle(s.top, np.bincount(s.groups // PARENTS, s.mid.count(), len(s.words)).astype(np.int64), top, d[0], random)
-    _resit(s.top, top, d[0], moves, random)
+    _resit(s.top, top, d[0], None, random)
 
 
 def _sample(s: Seating) -> tuple:
@@ -353,8 +468,9 @@ def score_texts(
        hashes, its words' counts by context. A longer text is a batch of its own. 2. A bucket merges them
        as they stream in. 3. Gibbs sweeps seat the customers bucket by bucket; between sweeps only the sums by
        restaurant (``context_bits``) come together. 4. Each bucket answers the batches with averaged
-       predictive probabilities, and the batches sum them by text. A bucket holds the words of about 2 MB of text, so their
-       number follows the input; everything is read from tables in the shared folder, so lost executors only repeat tasks.
+       predictive probabilities, and the batches sum them by text. A bucket holds the words of about 8 MB of text, so their
+       number follows the input; everything is read from tables in the shared folder, so lost executors only repeat tasks. Buckets and
+    batches are dealt out in ``_PARTS`` parts, and what was read for the last time is removed.
 
     A seat is drawn given the same dish's other seats as they are, and given other dishes' as they were after the last
     sweep, which is what lets buckets work side by side. No documents: no rows; no training text: the base alone.
@@ -367,8 +483,8 @@ def score_texts(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     size = base.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    buckets, bits = max(size // (2 << 20), 16), context_bits(size)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 16))
+    buckets, bits = max(size // BUCKET_BYTES, 16), context_bits(size)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-buckets // _PARTS))
 
     def read(batches):
         from pyspark import TaskContext
@@ -389,9 +505,15 @@ def score_texts(
             yield from _rows([row])
 
     small_batches(spark, 500)
-    sent = scratch.write(base.mapInArrow(read, _SCHEMA))
+    # the documents, kind 0, are part -1
+    sent = base.mapInArrow(read, _SCHEMA).withColumn("part", F.when(F.col("kind") == 0, -1).otherwise(F.col("bucket") % _PARTS))
+    sent = scratch.write(sent, by="part")
     small_batches(spark, 32)  # from here on a row is a batch or a bucket
-    requests = sent.where("kind = 1")
+    columns = ["kind", "batch", "bucket", "body"]
+
+    def requests(part: int) -> DataFrame:
+        return sent.where(F.col("part") == part).select(*columns)
+
     def summed(total: np.ndarray):
         at = np.flatnonzero(total)
         yield from _rows([(1, 0, -1, (at, total[at]))])
@@ -424,8 +546,11 @@ def score_texts(
             yield from finish()
             yield from summed(sums)
 
-    streamed = requests.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch")
-    state = scratch.write(streamed.mapInArrow(gather, _SCHEMA))
+    gathered = []
+    for part in range(_PARTS):
+        streamed = requests(part).repartition(tasks, "bucket").sortWithinPartitions("bucket", "batch")
+        gathered.append(scratch.write(streamed.mapInArrow(gather, _SCHEMA)))
+    state, old = reduce(DataFrame.union, gathered), gathered
 
     def sums(frame: DataFrame) -> np.ndarray:
         def unpack(batches):
@@ -454,16 +579,17 @@ def score_texts(
                     if k >= burn_in:
                         s.samples.append(_sample(s))
                     sums = s.totals() if sums is None else sums + s.totals()
-                    yield from _rows([(0, 0, bucket, s.state())])
+                    yield from _rows([(0, 0, bucket, s.state(k + 1 < burn_in + samples))])
             if sums is not None:
                 yield from summed(sums)
 
-        old, state = state, scratch.write(state.mapInArrow(resample, _SCHEMA))
+        state = scratch.write(state.mapInArrow(resample, _SCHEMA))
         if distinct:
             total = Totals(sums(state), bits)
         if k >= burn_in:
             kept.append(total)
-        scratch.drop(old)
+        scratch.drop(*old)
+        old = [state]
 
     def reply(batches):
         bucket, s = None, None
@@ -478,8 +604,13 @@ def score_texts(
                 logp, count = answer(s, kept, discounts, body)
                 yield from _rows([(1, batch, b, (logp.astype(np.float32), count))])
 
-    both = state.where("kind = 0").union(requests)
-    replies = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "batch").mapInArrow(reply, _SCHEMA)
+    replies = []
+    for part in range(_PARTS):
+        both = state.where((F.col("kind") == 0) & (F.col("bucket") % _PARTS == part)).union(requests(part))
+        both = both.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind", "batch")
+        replies.append(scratch.write(both.mapInArrow(reply, _SCHEMA)))
+        scratch.drop_part(sent, "part", part)
+    scratch.drop(state)
 
     def finish(batches):
         docs, logs, counts = None, [], []
@@ -510,10 +641,15 @@ def score_texts(
         if docs:
             yield from close()
 
-    joined = sent.where("kind = 0").union(replies).repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
-    return joined.mapInArrow(
-        finish, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    )
+    joined, results = reduce(DataFrame.union, replies, requests(-1)), []
+    for part in range(_PARTS):
+        some = joined.where(F.pmod(F.xxhash64("batch"), F.lit(_PARTS)) == part).repartition(tasks, "batch").sortWithinPartitions("batch", "bucket")
+        some = some.mapInArrow(
+            finish, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        )
+        results.append(scratch.write(some))
+    scratch.keep(*results)
+    return reduce(DataFrame.union, results)
 
 
 def op9_pitman_yor(spark, sf_dir: str) -> DataFrame:

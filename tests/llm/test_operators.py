@@ -383,6 +383,32 @@ def test_seats_against_a_plain_sampler():
     assert np.allclose(plain / 2500, fast / 2500, atol=0.15), (plain / 2500, fast / 2500)
 
 
+def test_a_sweep_moves_every_customer():
+    """Tables of dishes of many customers, all at one table before, have the exact distribution given the counts, whether
+    many dishes go side by side or few one at a time; six sweeps spread one of 5000."""
+    import numpy as np
+
+    random_ = np.random.default_rng(5)
+    word, context = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    s = pitman_yor.Seating(np.array([7], np.uint64), word, context, np.array([5000]), 12)
+    for _ in range(6):
+        pitman_yor.sweep(s, pitman_yor.Totals(s.totals(), 12), (0.8, 0.8, 0.8), random_)
+    assert s.pairs.count()[0] > 3  # a few customers a sweep leave the one table it begins with
+    n, d, plain, by_table = 60, 0.5, 2.0, 0.3
+    ways = np.array([1.0])  # of seating i customers at 1, 2, .. tables
+    for i in range(1, n):
+        stay = np.append(ways * (i - d * np.arange(1, i + 1)), 0)
+        ways = (stay + np.append(0, ways * (plain + by_table * np.arange(1, i + 1)))) / i
+    exact = ways @ np.arange(1, n + 1) / ways.sum()
+    weight = lambda who, own: plain + by_table * np.asarray(own)
+    for dishes, sweeps in ((500, 150), (4, 3000)):
+        tables, means = pitman_yor.Tables(np.full(dishes, n)), []
+        for _ in range(sweeps):
+            pitman_yor._resit(tables, weight, d, None, random_)
+            means.append(tables.count().mean())
+        assert abs(np.mean(means[sweeps // 3 :]) - exact) < 0.02 * exact, (dishes, np.mean(means[sweeps // 3 :]), exact)
+
+
 @pytest.fixture(scope="module")
 def two_languages():
     r = random.Random(8)
