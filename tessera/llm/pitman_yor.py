@@ -34,17 +34,36 @@ FEW_DISHES = 24
 BUCKET_BYTES = 8 << 20
 #: Parts of the buckets, and of the batches, that are dealt out one after the other, as a shuffle is as large as what it deals.
 _PARTS = 8
+_PLANES = "planes"
 _SCHEMA = "kind int, batch bigint, bucket int, body binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
 
 
+def _planes(x):
+    """Arrays of numbers as all their first bytes, then all second bytes and so on, which compress better."""
+    if isinstance(x, np.ndarray) and x.dtype.itemsize > 1:
+        return _PLANES, x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    if isinstance(x, dict):
+        return {k: _planes(v) for k, v in x.items()}
+    return type(x)(map(_planes, x)) if type(x) in (tuple, list) else x
+
+
+def _whole(x):
+    """What ``_planes`` was given."""
+    if isinstance(x, dict):
+        return {k: _whole(v) for k, v in x.items()}
+    if type(x) is tuple and len(x) == 3 and type(x[0]) is str and x[0] == _PLANES:
+        return np.ascontiguousarray(x[2].T).reshape(-1).view(x[1])
+    return type(x)(map(_whole, x)) if type(x) in (tuple, list) and not (x and type(x[0]) in (int, bool, type(None))) else x
+
+
 def _pack(body) -> bytes:
-    data = pickle.dumps(body, protocol=5)
+    data = pickle.dumps(_planes(body), protocol=5)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes):
-    return pickle.loads(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd"))
+    return _whole(pickle.loads(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd")))
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -400,34 +419,50 @@ def _sample(s: Seating) -> tuple:
     return tuple(x.astype(np.int32) for x in (s.pairs.count(), s.mid.n, s.mid.count(), s.top.n, s.top.count()))
 
 
-def answer(s: Seating, samples: list[Totals], d: tuple, request: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the averaged predictive probability of each requested pair, and each word's training count."""
+def prepare(s: Seating, samples: list[Totals], d: tuple) -> tuple:
+    """What all requests to a bucket share: training counts of the words, keys of the pairs, and for each sample the probabilities of
+    unseen words, and of the words, groups and pairs."""
+    count = np.bincount(s.word, s.pairs.n, max(len(s.words), 1)).astype(np.int64)
+    levels = []
+    for (t2, n1, t1, n0, t0), t in zip(s.samples, samples, strict=True):
+        p0, p1, p2 = _levels(s, t, d, s.pairs.n, t2, n1, t1, n0, t0)
+        levels.append((np.append(p0, _predict(0, 0, t.c0, t.t0, d[0], 1 / (t.distinct + 1))), p1, p2))
+    return count, s.word << s.bits | s.context, levels
+
+
+def answer(s: Seating, samples: list[Totals], d: tuple, request: tuple, ready: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the averaged predictive probability of each requested pair, and each word's training count; ``ready`` is what
+    ``prepare`` gives."""
+    counts, keys, levels = ready or prepare(s, samples, d)
     words, per_word, context, _ = request
     context = context.astype(np.int64)
     own = np.searchsorted(s.words, words)
     found = own < len(s.words)
     found[found] = s.words[own[found]] == words[found]
     own[~found] = 0
-    count = np.where(found, np.bincount(s.word, s.pairs.n, max(len(s.words), 1)).astype(np.int64)[own], 0)
-    word, known = np.repeat(own, per_word), np.repeat(found, per_word)
+    count = np.where(found, counts[own], 0)
+    own[~found] = len(s.words)  # the unseen word
+    word = np.repeat(own, per_word)
 
     def find(keys, wanted):
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        return at, known & (keys[at] == wanted) if len(keys) else known & False
+        at = np.searchsorted(keys, wanted)
+        at[at == len(keys)] = 0
+        there = np.flatnonzero(keys[at] == wanted) if len(keys) else at[:0]
+        return there, at[there]
 
     of = context >> s.inner
-    group, in_group = find(s.groups, word * PARENTS + of)
-    pair, in_pair = find(s.word << s.bits | s.context, word << s.bits | context)
-    total = np.zeros(len(word))
-    for (t2, n1, t1, n0, t0), t in zip(s.samples, samples, strict=True):
-        p0, p1, p2 = _levels(s, t, d, s.pairs.n, t2, n1, t1, n0, t0)
-        p = np.full(len(word), _predict(0, 0, t.c0, t.t0, d[0], 1 / (t.distinct + 1)))
-        p[known] = p0[word[known]]
-        p = _predict(0, 0, t.c1[of], t.t1[of], d[1], p)
-        p[in_group] = p1[group[in_group]]
-        p = _predict(0, 0, t.c2[context], t.t2[context], d[2], p)
-        p[in_pair] = p2[pair[in_pair]]
-        total += p
+    in_pair, pair = find(keys, word << s.bits | context)
+    rest = np.ones(len(word), bool)
+    rest[in_pair] = False
+    rest = np.flatnonzero(rest)  # of these the levels above tell
+    word, context, of = word[rest], context[rest], of[rest]
+    in_group, group = find(s.groups, word * PARENTS + of)
+    total = np.zeros(len(rest) + len(pair))
+    for (p0, p1, p2), t in zip(levels, samples, strict=True):
+        p = _predict(0, 0, t.c1[of], t.t1[of], d[1], p0[word])
+        p[in_group] = p1[group]
+        total[rest] += _predict(0, 0, t.c2[context], t.t2[context], d[2], p)
+        total[in_pair] += p2[pair]
     return np.log10(total / len(samples)), count
 
 
@@ -592,16 +627,17 @@ def score_texts(
         old = [state]
 
     def reply(batches):
-        bucket, s = None, None
+        bucket, s, ready = None, None, None
         for kind, batch, b, body in _stream(batches):
             if kind == 0:
-                bucket, s = b, Seating.of(body)
+                bucket, s, ready = b, Seating.of(body), None
             else:
                 if b != bucket:  # no training word in this bucket
                     none = np.zeros(0, np.int64)
-                    bucket, s = b, Seating(np.zeros(0, np.uint64), none, none, none, bits)
+                    bucket, s, ready = b, Seating(np.zeros(0, np.uint64), none, none, none, bits), None
                     s.samples = [(none,) * 5] * len(kept)
-                logp, count = answer(s, kept, discounts, body)
+                ready = ready or prepare(s, kept, discounts)
+                logp, count = answer(s, kept, discounts, body, ready)
                 yield from _rows([(1, batch, b, (logp.astype(np.float32), count))])
 
     replies = []

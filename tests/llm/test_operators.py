@@ -409,6 +409,29 @@ def test_a_sweep_moves_every_customer():
         assert abs(np.mean(means[sweeps // 3 :]) - exact) < 0.02 * exact, (dishes, np.mean(means[sweeps // 3 :]), exact)
 
 
+def test_pitman_yor_answers_requests_without_all_pairs(monkeypatch):
+    """What a bucket's requests share is computed once; packed arrays come back as they were."""
+    import numpy as np
+
+    r, bits, calls, levels = np.random.default_rng(2), 11, [], pitman_yor._levels
+    parts = []
+    for k in range(3):
+        batch = pitman_yor._Batch(bits)
+        batch.add(k, True, b" ".join(b"w%d" % x for x in r.zipf(1.5, 300) % 90))
+        parts += [body for kind, _, _, body in batch.rows(k, 1) if kind == 1]
+    s = pitman_yor.Seating(*pitman_yor._merge(parts[:2], bits), bits)
+    total, d = pitman_yor.Totals(s.totals(), bits), (0.5, 0.6, 0.7)
+    pitman_yor.sweep(s, total, d, r)
+    s = pitman_yor.Seating.of(pitman_yor._unpack(pitman_yor._pack(s.state() | {"samples": [pitman_yor._sample(s)]})))
+    monkeypatch.setattr(pitman_yor, "_levels", lambda *a: calls.append(1) or levels(*a))
+    ready = pitman_yor.prepare(s, [total], d)
+    for part in parts:
+        got, count = pitman_yor.answer(s, [total], d, pitman_yor._unpack(pitman_yor._pack(part)), ready)
+        assert len(calls) == 1 and len(got) == len(part[2]) and (got < 0).all() and len(count) == len(part[0])
+    alone, _ = pitman_yor.answer(s, [total], d, parts[2])
+    assert len(calls) == 2 and (alone == got).all()
+
+
 @pytest.fixture(scope="module")
 def two_languages():
     r = random.Random(8)
