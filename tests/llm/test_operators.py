@@ -383,6 +383,25 @@ def test_seats_against_a_plain_sampler():
     assert np.allclose(plain / 2500, fast / 2500, atol=0.15), (plain / 2500, fast / 2500)
 
 
+def test_sketches_of_sets_lose_no_link(spark):
+    """Sets that are linked pass the sketches, whatever their sizes; of those a third apart hardly any does."""
+    r = random.Random(11)
+    rows = []
+    for k in range(300):
+        whole = [r.getrandbits(64) - 2**63 for _ in range(r.choice([1, 2, 7, 40, 150, 400, 3000]))]
+        other = whole[: len(whole) - r.randrange(len(whole) // (3 if k % 2 else 8) + 1)]
+        other += [r.getrandbits(64) - 2**63 for _ in range(r.randrange(len(whole) // (3 if k % 2 else 12) + 1))]
+        rows.append((whole, other, len(set(whole) & set(other)) / len(set(whole) | set(other))))
+    rows += [([r.getrandbits(64) - 2**63 for _ in range(300)] + (same := [r.getrandbits(64) - 2**63 for _ in range(700)]),
+              same + [r.getrandbits(64) - 2**63 for _ in range(300)], 700 / 1300) for _ in range(50)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, j double")
+    sketch = lambda c: jaccard._sketch(F.col(c), F.size(c))
+    got = df.select("j", jaccard._may_link(sketch("a"), sketch("b"), 85).alias("may")).collect()
+    linked = [x.may for x in got if x.j >= 0.85]
+    far = [x.may for x in got[300:]]
+    assert len(linked) > 100 and all(linked) and sum(far) <= 1
+
+
 def test_a_sweep_moves_every_customer():
     """Tables of dishes of many customers, all at one table before, have the exact distribution given the counts, whether
     many dishes go side by side or few one at a time; six sweeps spread one of 5000."""
