@@ -10,8 +10,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, html, jaccard, language, licenses, lines, mixing, pitman_yor, quality
-from tessera.llm.common import ascii_lower, words
+from tessera.llm import decontamination, fingerprints, graph, html, jaccard, language, licenses, lines, mixing, pitman_yor, quality
+from tessera.llm.common import Scratch, ascii_lower, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, key string, u int, v int, n int, s int, h int, start int, block int, train int, batch int, part int, tail int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -192,6 +192,28 @@ def test_lines_with_changed_words(spark):
     assert {x.doc_id: x.first_doc_id for x in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
 
 
+def test_pairs_of_lines_far_in_words_do_not_fit(spark):
+    a = [f"w{k}" for k in range(40)]
+    b = ["other", *a[1:], "two", "more"]  # three edits, two are allowed
+    about = [lines._about(F.lit(" ".join(x))) for x in (a, b, b[:-1])]
+    x = spark.range(1).select(lines._may_be_within_words(about[0], about[1], 5).alias("far"), lines._may_be_near(about[0], about[2], 2, 5).alias("near")).first()
+    assert not x.far and x.near
+
+
+def test_alike_nodes_meet_at_one_key(spark, monkeypatch):
+    nodes, keys = 30, 20
+    rows = [(k, n, 0 if n % 2 else 1, float(k % 3)) for n in range(nodes) for k in range(keys) if (n + k) % 7]
+    index = spark.createDataFrame(rows, "key long, node long, about int, rank double")
+    met, whole = [], type(index).distinct
+    monkeypatch.setattr(type(index), "distinct", lambda df: met.append(df.count()) or whole(df) if df.columns == ["u", "v"] else whole(df))
+    pairs = []
+    links = lambda df: pairs.extend((x.u, x.v) for x in df.collect()) or df.where("u = 2 and v = 4")
+    comp = graph.connect(index, lambda _, a, __, b: a == b, links, Scratch(spark)).collect()
+    assert {(x.node, x.comp) for x in comp} == {(2, 2), (4, 2)}
+    assert {*pairs} == {(u, v) for u in range(nodes) for v in range(u + 2, nodes, 2)}
+    assert len(pairs) == len({*pairs}) and met[-1] < 2 * nodes * nodes / 4
+
+
 def test_mixing(spark):
     r = random.Random(3)
     texts = [prose(r, r.randrange(0, 300)) for _ in range(300)] + [None, "", (None, "a b c"), (7, "x y z"), (7, "x y z")]
