@@ -200,6 +200,21 @@ def test_pairs_of_lines_far_in_words_do_not_fit(spark):
     assert not x.far and x.near
 
 
+def test_larger_sketches_tell_large_sets_apart(spark):
+    r = random.Random(8)
+    new = lambda n: [r.getrandbits(64) - 2**63 for _ in range(n)]
+    base = new(2000)
+    sets = [base, base[:1850] + new(150), base[:1200] + new(800), base[:30], base[:30] + new(2)]
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>")
+    few = df.select("node", jaccard._sketch(F.col("hashes"), F.size("hashes").cast("bigint")).alias("sketch"))
+    may = {}
+    for name, sketches, fits in (("few", few, jaccard._may_link), ("larger", jaccard._larger_sketches(df), jaccard._may_link_by_larger)):
+        a, b = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("s")), sketches.select(F.col("node").alias("v"), F.col("sketch").alias("t"))
+        may[name] = {(x.u, x.v) for x in a.join(b, F.col("u") < F.col("v")).where(fits(F.col("s"), F.col("t"), 85)).collect()}
+    links = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len({*a} & {*b}) >= 85 * len({*a} | {*b})}
+    assert links == {(0, 1), (3, 4)} == may["larger"] and may["few"] > links
+
+
 def test_alike_nodes_meet_at_one_key(spark, monkeypatch):
     nodes, keys = 30, 20
     rows = [(k, n, 0 if n % 2 else 1, float(k % 3)) for n in range(nodes) for k in range(keys) if (n + k) % 7]
