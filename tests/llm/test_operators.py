@@ -215,6 +215,15 @@ def test_larger_sketches_tell_large_sets_apart(spark):
     assert links == {(0, 1), (3, 4)} == may["larger"] and may["few"] > links
 
 
+def test_shared_line_keys_are_sent_in_parts(spark, monkeypatch):
+    r = random.Random(4)
+    texts = ["\n".join(" ".join(f"word{r.randrange(10**6)}" for _ in range(12)) for _ in range(20)) for _ in range(4)]
+    sent, plain = [], lines.keyed
+    monkeypatch.setattr(lines, "keyed", lambda df, ids, key, *a: (sent.append({x.key for x in ids.collect()}) if key == "key" else None) or plain(df, ids, key, *a))
+    got = lines.near_duplicate_lines(documents(spark, texts + [t.replace("\n", "x\n") + "x" for t in texts])).collect()
+    assert len(sent) == lines._PARTS and sum(map(len, sent)) == len(set().union(*sent)) > max(map(len, sent)) and sum(not x.kept for x in got) == 80
+
+
 def test_alike_nodes_meet_at_one_key(spark, monkeypatch):
     nodes, keys = 30, 20
     rows = [(k, n, 0 if n % 2 else 1, float(k % 3)) for n in range(nodes) for k in range(keys) if (n + k) % 7]
