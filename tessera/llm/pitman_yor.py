@@ -9,7 +9,9 @@ unknown word.
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 from functools import reduce
+from itertools import count
 from random import Random
 
 import numpy as np
@@ -81,16 +83,12 @@ class _Batch:
     """Documents of one task, up to a size: tokens by number, counts by word and context."""
 
     def __init__(self, bits: int) -> None:
-        self.bits, self.numbers = bits, {}
+        self.bits, self.numbers = bits, defaultdict(count().__next__)
         self.ids, self.train, self.lengths, self.tokens, self.size = [], [], [], [], 0
 
-    def number(self, word: bytes) -> int:
-        k = self.numbers[word] = len(self.numbers)
-        return k
-
     def add(self, doc_id: int | None, train: bool, text: bytes) -> None:
-        get, new = self.numbers.get, self.number
-        self.tokens.append(np.array([k if (k := get(w)) is not None else new(w) for w in [*text.lower().split(), END]], np.int32))
+        found = [*text.lower().split(), END]
+        self.tokens.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
         self.ids.append(doc_id)
         self.train.append(train)
         self.lengths.append(len(self.tokens[-1]))
@@ -304,10 +302,14 @@ def _resit(tables: Tables, weight, discount: float, moves: int | None, random) -
     Step j moves one customer of every dish that has so many; the last few dishes, of most customers, go on one at a time.
     A customer who stays at the old tables sits down with another at random, who lets him by (s - discount) / s at a
     table of s, so a step costs the same whatever the number of tables. Dishes are taken in groups of ``GROUP`` customers.
+    Where one of two customers leaves, the other is alone at a table, however they sat: the last step alone tells how they sit.
     """
-    who = np.flatnonzero(tables.n > 1)
+    two = np.flatnonzero(tables.n == 2)
+    w = weight(two, np.ones(len(two)))
+    apart = (random.random(len(two)) * (1 - discount + w) < w).astype(np.int64)
+    who = np.flatnonzero(tables.n > 2)
     who = who[np.argsort(-tables.n[who], kind="stable")]
-    dishes, sizes = [], []
+    dishes, sizes = [np.repeat(two, 1 + apart)], [np.repeat(2 - apart, 1 + apart)]
     group = np.cumsum(tables.n[who]) // GROUP
     for some in np.split(who, np.flatnonzero(np.diff(group)) + 1):
         dish, size = _resit_some(tables, some, weight, discount, moves, random)
@@ -333,10 +335,11 @@ def _resit_some(tables: Tables, who: np.ndarray, weight, discount: float, moves:
     plain = weight(who, np.zeros(len(who)))
     by_table = weight(who, np.ones(len(who))) - plain  # the weight of a new table grows evenly
     others = n - 1.0
+    left_at = [*(len(last) - np.cumsum(np.bincount(last))).tolist(), 0]  # dishes with a step j
     j = 0
-    while (m := int(np.searchsorted(-last, -j))) > FEW_DISHES:
+    while (m := left_at[j]) > FEW_DISHES:
         c, own, many, tm = start[:m] + j, others[:m], n[:m], t[:m]
-        u = random.random((4, m))
+        u = random.random((3, m))
         leaver = c + (u[0] * (many - j)).astype(np.int64)
         k = seat[leaver]
         seat[leaver] = seat[c]
@@ -345,11 +348,13 @@ def _resit_some(tables: Tables, who: np.ndarray, weight, discount: float, moves:
         tm -= left == 0
         w = plain[:m] + by_table[:m] * tm
         new = u[1] * (own - discount * tm + w) < w
-        host = (u[2] * own).astype(np.int64)
+        drawn = u[2] * own
+        host = drawn.astype(np.int64)
+        drawn -= host  # as good as another number
         host += host >= j
         k = seat[start[:m] + host]
         x = size[k]
-        again = np.flatnonzero(~new & (u[3] * x >= x - discount))
+        again = np.flatnonzero(~new & (drawn * x >= x - discount))
         while len(again):
             v = random.random((2, len(again)))
             host = (v[0] * own[again]).astype(np.int64)

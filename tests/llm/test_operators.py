@@ -775,3 +775,28 @@ def test_crc(spark):
 
     got = spark.createDataFrame([(1,), (20,), (None,)], "i bigint").select(id_remainder(F.col("i"), 5)).collect()
     assert [x[0] for x in got] == [zlib.crc32(str(i).encode()) % 5 if i else 0 for i in (1, 20, None)]
+
+
+def test_pitman_yor_seats_two_customers_with_one_number():
+    import numpy as np
+
+    class Counted:
+        def __init__(self):
+            self.random_, self.drawn = np.random.default_rng(6), 0
+
+        def random(self, shape):
+            self.drawn += int(np.prod(shape))
+            return self.random_.random(shape)
+
+        def integers(self, *a):
+            return self.random_.integers(*a)
+
+    n, d, plain, by_table, random_ = 20_000, 0.5, 2.0, 0.3, Counted()
+    for at_two in (False, True):  # how they sat before makes no difference
+        tables = pitman_yor.Tables(np.full(n, 2))
+        if at_two:
+            tables.dish, tables.size = np.repeat(tables.dish, 2), np.ones(2 * n, np.int64)
+        pitman_yor._resit(tables, lambda who, own: plain + by_table * np.asarray(own), d, None, random_)
+        assert (np.bincount(tables.dish, tables.size, n) == 2).all()
+        assert abs((tables.count() == 2).mean() - (plain + by_table) / (1 - d + plain + by_table)) < 0.015
+    assert random_.drawn == 2 * n
