@@ -777,6 +777,33 @@ def test_crc(spark):
     assert [x[0] for x in got] == [zlib.crc32(str(i).encode()) % 5 if i else 0 for i in (1, 20, None)]
 
 
+def test_large_sets_that_share_a_passage_are_not_sent_whole(spark, monkeypatch):
+    r = random.Random(3)
+    new = lambda n: " ".join(f"word{r.randrange(10**9)}" for _ in range(n))
+    passage, plain, whole = new(200), Scratch.write, []
+    texts = [new(2500) + " " + passage for _ in range(8)]
+    texts.append(texts[0] + " " + new(50))
+
+    def write(self, df, *a, **k):
+        out = plain(self, df, *a, **k)
+        whole.extend(x.node for x in out.collect()) if {"node", "hashes"} == set(out.columns) else None
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(documents(spark, texts), frequent_above=100).collect()}
+    assert got == {i: 1 if i == 9 else i for i in range(1, 10)} and len(set(whole)) == 2
+
+
+def test_scratch_collects_the_drivers_garbage(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(x.getCollectionCount() for x in beans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    scratch, before = Scratch(spark), full()
+    for i in range(20):
+        scratch.write(spark.range(1))
+    scratch.keep()
+    assert full() >= before + 2
+
+
 def test_pitman_yor_seats_two_customers_with_one_number():
     import numpy as np
 
