@@ -827,3 +827,13 @@ def test_pitman_yor_seats_two_customers_with_one_number():
         assert (np.bincount(tables.dish, tables.size, n) == 2).all()
         assert abs((tables.count() == 2).mean() - (plain + by_table) / (1 - d + plain + by_table)) < 0.015
     assert random_.drawn == 2 * n
+
+
+def test_frequent_shingles_are_counted_in_some_texts(spark, monkeypatch):
+    r, plain, seen = random.Random(9), jaccard._frequent_bits, []
+    texts = [prose(r, 40) for _ in range(60)]
+    texts += [t + " x" for t in texts[:5]]
+    monkeypatch.setattr(jaccard, "_frequent_bits", lambda t, k, above, *a: (seen.append((t.count(), above)), plain(t, k, above, *a))[1])
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(documents(spark, texts)).collect()}
+    assert 0 < seen[0][0] < 35 and seen[0][1] == 2
+    assert got == {i: i - 60 if i > 60 else i for i in range(1, 66)}
