@@ -804,6 +804,17 @@ def test_scratch_collects_the_drivers_garbage(spark):
     assert full() >= before + 2
 
 
+def test_scratch_gives_the_drivers_memory_back(spark):
+    held = spark._jvm.java.nio.ByteBuffer.allocate(700 << 20)
+    spark.sparkContext._gateway.detach(held)
+    scratch = Scratch(spark)
+    for _ in range(8):
+        scratch.write(spark.range(1))
+    scratch.keep()
+    heap = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean().getHeapMemoryUsage()
+    assert heap.getCommitted() <= 1.6 * heap.getUsed() + (64 << 20)
+
+
 def test_pitman_yor_seats_two_customers_with_one_number():
     import numpy as np
 
