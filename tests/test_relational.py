@@ -200,3 +200,27 @@ def test_scan_of_likely_rows(spark, tmp_path):
     got = r.filter_df(out.table(spark, str(tmp_path), "t", F.col("x") > 5), F.col("x") > 5)
     assert_rows(got, [(7.0,)])
     assert "GreaterThan(x,5.0)" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["inner", "left_outer", "right_outer", "full_outer"])
+def test_crowded_joins(spark, kind, monkeypatch):
+    """Tiles of a few rows give each pair once, and the rows without a match once; keys of two columns, NULLs and repeated rows too."""
+    monkeypatch.setattr(r, "_TILE", 3)
+    a = make_rand_df(spark, 120, a=("int", 40), b=("datetime", 40), c=("float", 40)).withColumn("a", F.col("a") % 3)
+    a = a.withColumn("b", F.when(F.col("b").isNotNull(), F.lit("x"))).unionAll(spark.createDataFrame([(7, "y", 0.5)] * 9, "a int, b string, c double")).cache()
+    b = make_rand_df(spark, 80, seed=1, d=("float", 10), a=("int", 10)).selectExpr("d", "a % 4 + 1 AS a", "'x' AS b").cache()
+    sql = f"SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, c, d FROM x {kind.replace('_outer', '')} JOIN y ON x.a = y.a AND x.b = y.b"
+    assert_duck_eq(join(a, b, kind, ["a", "b"], crowded=True), sql, x=a, y=b)
+
+
+def test_pairs_of_a_crowded_key_go_to_many_tasks(spark):
+    """One key of two large groups: no partition of an inner join has all pairs."""
+    a, b = (spark.range(9000).select(F.lit(1).alias("k"), F.col("id").alias(c)) for c in "xy")
+    got = join(a, b.limit(5), "inner", ["k"], crowded=True).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(n for _, n in got) == 45_000 and len(got) > 1
+
+
+def test_full_outer_join_holds_no_pairs(spark):
+    """Spark's own full outer join puts all pairs of a key in a list before it hands on the first."""
+    a = spark.createDataFrame([(1, 2)], "k int, v int")
+    assert "FullOuter" not in join(a, a.toDF("k", "w"), "full", ["k"])._jdf.queryExecution().optimizedPlan().toString()
