@@ -224,3 +224,31 @@ def test_full_outer_join_holds_no_pairs(spark):
     """Spark's own full outer join puts all pairs of a key in a list before it hands on the first."""
     a = spark.createDataFrame([(1, 2)], "k int, v int")
     assert "FullOuter" not in join(a, a.toDF("k", "w"), "full", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_groups_come_in_pieces(spark, monkeypatch):
+    """No call has more rows than a piece, NULL and NaN are one group, and every row counts once."""
+    monkeypatch.setattr(grouped, "_PIECE", 100)
+    df = spark.range(0, 5000, 1, 3).select(F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 1, 2.5).alias("x"), (F.col("id") + 2**53).alias("_piece"))
+
+    def part(g):
+        assert len(g) <= 100 and list(g.columns) == ["x", "_piece"] and list(g.index) == list(range(len(g)))
+        return g.head(1).assign(n=len(g), most=g["_piece"].max())[["x", "n", "most"]]
+
+    def merge(g):
+        return g.head(1).assign(n=g["n"].sum(), most=g["most"].max())
+
+    got = grouped.sql_groupby_fold(df, ["x"], part, merge, "x:double,n:long,most:long")
+    assert_rows(got, [(None, 3333, 2**53 + 4998), (2.5, 1667, 2**53 + 4999)])
+    assert grouped.sql_groupby_fold(df.limit(0), ["x"], part, merge, "x:double,n:long,most:long").isEmpty()
+    with pytest.raises(ValueError):
+        grouped.sql_groupby_fold(df, [], part, merge, "n:long")
+
+
+@pytest.mark.parametrize("name", ["group_apply"])
+def test_group_queries_never_hold_a_group(spark, name):
+    """All of a group's rows go to Python in pieces."""
+    from tessera.plans import queries
+
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" in plan
