@@ -245,7 +245,7 @@ def test_large_groups_come_in_pieces(spark, monkeypatch):
         grouped.sql_groupby_fold(df, [], part, merge, "n:long")
 
 
-@pytest.mark.parametrize("name", ["group_apply"])
+@pytest.mark.parametrize("name", ["group_apply", "nan_group_apply"])
 def test_group_queries_never_hold_a_group(spark, name):
     """All of a group's rows go to Python in pieces."""
     from tessera.plans import queries
