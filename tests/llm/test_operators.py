@@ -882,3 +882,16 @@ def test_frequent_shingles_are_counted_in_some_texts(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(documents(spark, texts)).collect()}
     assert 0 < seen[0][0] < 35 and seen[0][1] == 2
     assert got == {i: i - 60 if i > 60 else i for i in range(1, 66)}
+
+
+def test_letters_of_a_line(spark):
+    """Steps of the numbers of letters are those that Python counts, between characters of any size."""
+
+    def want(text):
+        up = [2**lines._STEPS - 1 >> (lines._STEPS - i) for i in range(lines._STEPS)]
+        steps = up + [(2**lines._STEPS - 1 << i) & (2**lines._STEPS - 1) for i in range(lines._STEPS)]
+        return sum(steps[text.count(c) % len(steps)] << lines._STEPS * i for i, c in enumerate(lines._LETTERS))
+
+    texts = ["", "tree to tree", "é😀e日本t" * 7, "e" * 23 + "ß", "ETA"]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(lines._letter_bits(F.col("t"))).collect()
+    assert [x[0] for x in got] == [want(x) for x in texts]
